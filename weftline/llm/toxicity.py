@@ -24,7 +24,7 @@ from weftline.llm.common import bounded_sample, fold, rows_of
 from weftline.llm.textkit import LOWER, NON_WORD, U, Words, mix, per_chunk, sums
 
 #: Most labelled documents that are learned from.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 16000
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,10 +48,10 @@ class Ftrl:
     """Per-coordinate FTRL-proximal state."""
 
     bits: int = 20
-    alpha: float = 0.15
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
+    l1: float = 6.0
+    l2: float = 0.1
 
     def __post_init__(self):
         self.z, self.n = np.zeros((1 << self.bits) + 1), np.zeros((1 << self.bits) + 1)
@@ -70,7 +70,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(rows: DataFrame, bits: int = 20, epochs: int = 3, **ftrl) -> tuple[np.ndarray, np.ndarray, float]:
+def train(rows: DataFrame, bits: int = 20, epochs: int = 4, **ftrl) -> tuple[np.ndarray, np.ndarray, float]:
     """Non-zero weights (indices, values) and bias from bounded ``rows`` (doc_id, text, label)."""
 
     def pack(batch, data, offsets):
