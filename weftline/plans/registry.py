@@ -1,15 +1,431 @@
-"""Registered graph queries and their SQL."""
+"""Registered graph queries over the part graph of the sample tables, and their SQL.
+
+Vertices are the parts; an edge joins successive parts of an order, weighted by summed quantity.
+The queries named ``..._sparse`` use the edges of weight 50 and more, where vertices without edges
+exist.
+"""
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftline.functions.unsigned import narrow_u32, u32
+from weftline.operators import blocks, layout
+from weftline.operators.requests import normalise
+from weftline.plans.graph import Graph
+from weftline.scratch import Scratch, shared_dir
+from weftline.sinks import binary, text
+from weftline.sources import sequence
+from weftline.sources.bvgraph import encode, encode_labels
+
+BLOCK = 1024
+HEAVY = 50
+
+# (id, start vertex, start edge, end vertex, end edge); -1 is the end
+REQUESTS = [
+    (0, 0, 0, -1, -1), (1, 0, 1, 3, 0), (2, 0, 500, -1, -1), (3, 0, 0, 0, 900), (4, 2, 0, 2, 0), (5, 100, 0, 200, 0), (6, 1, 2, 1, 1),
+    (7, 3, 1, 2, 0), (8, 10, 3, 150, 5), (9, 7, 1000, 7, 1000), (10, 1000000000, 0, -1, -1), (11, 5, 2, 5, 9), (12, 12, 0, 13, 1000000), (13, 0, 0, 1000000000, 4),
+]
+
+
+def part_edges(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """(src, dst, weight) of the part graph; one shuffle by order, one by edge."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    steps = items.select(F.col("l_partkey").alias("src"), F.col("l_quantity").alias("q"), F.lead("l_partkey").over(order).alias("dst"))
+    edges = steps.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.sum("q").cast("long").alias("weight"))
+    return edges.where(F.col("weight") >= HEAVY) if heavy else edges
+
+
+def part_graph(spark: SparkSession, sf_dir: str, heavy: bool = False, weighted: bool = True) -> Graph:
+    edges = part_edges(spark, sf_dir, heavy)
+    vertices = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("v"))
+    return Graph.from_edges(edges if weighted else edges.drop("weight"), vertices)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder for files that are written at byte positions and so need a mounted path."""
+    root = shared_dir(spark).removeprefix("file://")
+    os.makedirs(root, exist_ok=True)
+    return tempfile.mkdtemp(prefix="graph-", dir=root)
+
+
+def _rows(graph: Graph, *columns: str):
+    """Adjacency of each vertex in order, streamed to the driver, for writing test files."""
+    ordered = graph.edges.orderBy("edge_idx").select("src", *columns).toLocalIterator()
+    at, held = 0, [[] for _ in columns]
+    for r in ordered:
+        while at < r[0]:
+            yield tuple(held)
+            at, held = at + 1, [[] for _ in columns]
+        for k in range(len(columns)):
+            held[k].append(r[k + 1])
+    while at < graph.num_vertices:
+        yield tuple(held)
+        at, held = at + 1, [[] for _ in columns]
+
+
+def compressed(spark: SparkSession, sf_dir: str, graph_type: str = "wg400", heavy: bool = False, window: int = 3) -> Graph:
+    """The part graph, written in the compressed format and opened again."""
+    folder, source = _folder(spark), part_graph(spark, sf_dir, heavy)
+    labels: list[list[int]] = []
+
+    def successors():
+        for dst, weight in _rows(source, "dst", "weight"):
+            labels.append(weight)
+            yield dst
+
+    encode(f"{folder}/part", source.num_vertices, successors(), window)
+    if graph_type != "wg404":
+        return Graph.open(spark, f"{folder}/part", graph_type)
+    encode_labels(f"{folder}/weights", f"{folder}/part", labels)
+    return Graph.open(spark, f"{folder}/weights", graph_type)
+
+
+def graph_counts(spark, d):
+    g = part_graph(spark, d)
+    return g.vertices.agg(F.count("*").alias("v")).crossJoin(g.links.agg(F.count("*").alias("e")))
+
+
+def coo_scan(spark, d):
+    return part_graph(spark, d, weighted=False).edges
+
+
+def coo_scan_weighted(spark, d):
+    return part_graph(spark, d).edges.withColumnRenamed("weight", "w")
+
+
+def vertex_range_scan(spark, d):
+    return part_graph(spark, d, weighted=False).edges.where("src >= 100 AND src < 200")
+
+
+def edge_block_scan(spark, d):
+    return part_graph(spark, d, weighted=False).subgraph(10, 3, 150, 5)
+
+
+def request_normalise(spark, d):
+    g = part_graph(spark, d)
+    asked = spark.createDataFrame(REQUESTS, "id int, sv long, se long, ev long, ee long")
+    return normalise(asked, g.offset_rows(), g.num_vertices)
+
+
+def offsets(spark, d):
+    return part_graph(spark, d).offset_rows()
+
+
+def offsets_slice(spark, d):
+    return part_graph(spark, d).offsets(50, 100)
+
+
+def out_degree(spark, d):
+    return part_graph(spark, d).degrees
+
+
+def out_degree_sparse(spark, d):
+    return part_graph(spark, d, True).degrees
+
+
+def degree_from_offsets(spark, d):
+    return layout.degrees_of(part_graph(spark, d, True).offset_rows())
+
+
+def first_degrees(spark, d):
+    return part_graph(spark, d).degrees.orderBy("v").limit(30)
+
+
+def block_summary(spark, d):
+    return part_graph(spark, d).block_summary(BLOCK).withColumnRenamed("block", "block_id")
+
+
+def block_bounds(spark, d):
+    g = part_graph(spark, d)
+    return blocks.bounds(g.edges, g.offset_rows(), BLOCK).withColumnRenamed("block", "block_id")
+
+
+def adaptive_block_size(spark, d):
+    g = part_graph(spark, d)
+    return spark.createDataFrame([(g.num_edges, g.block_edges)], "e long, block_edges long")
+
+
+def read_progress(spark, d):
+    return blocks.progress(part_graph(spark, d, weighted=False).edges, BLOCK).withColumnRenamed("block", "block_id")
+
+
+def in_degree(spark, d):
+    return part_graph(spark, d).in_degrees()
+
+
+def in_degree_sparse(spark, d):
+    return part_graph(spark, d, True).in_degrees()
+
+
+def in_degree_distribution(spark, d):
+    return part_graph(spark, d).in_degree_distribution()
+
+
+def in_degree_distribution_sparse(spark, d):
+    return part_graph(spark, d, True).in_degree_distribution()
+
+
+def max_in_degree(spark, d):
+    return part_graph(spark, d).in_degrees().agg(F.max("in_degree").alias("max_in_degree"))
+
+
+def max_in_degree_sparse(spark, d):
+    return part_graph(spark, d, True).in_degrees().agg(F.max("in_degree").alias("max_in_degree"))
+
+
+def wcc_labels(spark, d):
+    return part_graph(spark, d, True).components()
+
+
+def wcc_sizes(spark, d):
+    return layout.histogram(wcc_labels(spark, d), "comp", "comp", "size")
+
+
+def wcc_count(spark, d):
+    return wcc_labels(spark, d).agg(F.countDistinct("comp").alias("components"), F.count("*").alias("vertices"))
+
+
+def wcc_largest(spark, d):
+    return wcc_sizes(spark, d).orderBy(F.desc("size"), "comp").limit(1)
+
+
+def wcc_labels_full(spark, d):
+    return part_graph(spark, d).components()
+
+
+def validation_sum(spark, d):
+    wrapped = part_graph(spark, d, weighted=False).validation_sum()
+    s = F.col("validation_sum")
+    half, whole = F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")
+    return wrapped.select(F.when(s < half, s).otherwise(s - whole).cast("long").alias("validation_sum"))
+
+
+def el_lines(spark, d):
+    return text.el_lines(part_graph(spark, d, weighted=False).edges)
+
+
+def adj_lines(spark, d):
+    g = part_graph(spark, d, weighted=False)
+    return text.adj_lines(g.edges, g.offset_rows(), g.num_vertices, g.num_edges)
+
+
+def degree_distribution_lines(spark, d):
+    return text.pair_lines(in_degree_distribution(spark, d), "degree", "cnt")
+
+
+def wcc_size_lines(spark, d):
+    return text.pair_lines(wcc_sizes(spark, d), "comp", "size")
+
+
+def el_file(spark, d):
+    """The text edge list written and read again, one line a row."""
+    g, path = part_graph(spark, d, weighted=False), f"{shared_dir(spark)}/weftline/el-{os.urandom(8).hex()}"
+    text.write_lines(text.el_lines(g.edges), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def _written(spark, d) -> tuple[Graph, DataFrame, DataFrame, str]:
+    g, scratch = part_graph(spark, d), Scratch(spark, "sink")
+    return g, scratch.table(g.edges), scratch.table(g.offset_rows()), _folder(spark)
+
+
+def csx_bin_words(spark, d):
+    g, edges, rows, folder = _written(spark, d)
+    binary.write_csx(edges, rows, g.num_vertices, g.num_edges, f"{folder}/part.bin")
+    return binary.read_words(spark, f"{folder}/part.bin", [(2, "<u8"), (g.num_vertices + 1, "<u8"), (g.num_edges, "<u4")])
+
+
+def g3_bin_words(spark, d):
+    g, edges, rows, folder = _written(spark, d)
+    binary.write_g3(edges, rows, g.num_vertices, g.num_edges, f"{folder}/part.g3_bin")
+    return binary.read_words(spark, f"{folder}/part.sg", [(8, "<u8"), (g.num_vertices + 1, "<u8"), (g.num_edges, "<u4")])
+
+
+def weighted_bin_pairs(spark, d):
+    g, edges, _, folder = _written(spark, d)
+    binary.write_weighted(edges, g.num_edges, f"{folder}/part.w_bin")
+    return binary.read_words(spark, f"{folder}/part.w_bin", [(2 * g.num_edges, "<u4")])
+
+
+def offsets_bin_words(spark, d):
+    g, _, rows, folder = _written(spark, d)
+    binary.write_offsets(rows, g.num_vertices, f"{folder}/part_offsets.bin")
+    return binary.read_words(spark, f"{folder}/part_offsets.bin", [(g.num_vertices + 1, "<u8")])
+
+
+def narrow_ids(spark, d):
+    return part_graph(spark, d, weighted=False).edges.select("edge_idx", narrow_u32(F.col("dst")).alias("dst4"), u32(-F.col("dst") - 1).alias("wrapped"))
+
+
+def scan_checksum(spark, d):
+    return spark.range(1_000_000).agg(F.sum("id").alias("total"), F.count("*").alias("n"))
+
+
+def sequence_file_scan(spark, d):
+    """Blocks of a sequence file of a million numbers, summed by each way of reading."""
+    path, out = f"{_folder(spark)}/sequence.bin", None
+    sequence.write_sequence(spark, path, 1_000_000)
+    for method in sequence.METHODS:
+        part = sequence.scan_blocks(spark, path, 1 << 20, method).select(F.lit(method).alias("method"), "block", "bytes", F.col("total").cast("long").alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def bvgraph_roundtrip(spark, d):
+    return compressed(spark, d).edges
+
+
+def bvgraph_roundtrip_800(spark, d):
+    return compressed(spark, d, "wg800", window=0).edges
+
+
+def bvgraph_roundtrip_weighted(spark, d):
+    return compressed(spark, d, "wg404").edges.withColumnRenamed("weight", "w")
+
+
+def bvgraph_range_scan(spark, d):
+    return compressed(spark, d).subgraph(10, 3, 150, 5)
+
+
+def bvgraph_offsets(spark, d):
+    return compressed(spark, d).offset_rows()
+
+
+def bvgraph_wcc_sparse(spark, d):
+    return compressed(spark, d, heavy=True).components()
+
+
+def stream_in_degree(spark, d):
+    """In-degrees from blocks that a stream delivers; each batch's counts go to a table."""
+    g, scratch = compressed(spark, d), Scratch(spark, "stream")
+    g.block_edges, g.max_blocks_in_flight = 8 * BLOCK, 3
+    parts: list[DataFrame] = []
+    g.read_async(lambda batch, _: parts.append(scratch.table(batch.groupBy("dst").agg(F.count("*").alias("n"))))).wait()
+    total = parts[0]
+    for p in parts[1:]:
+        total = total.unionByName(p)
+    counts = total.groupBy(F.col("dst").alias("v")).agg(F.sum("n").alias("n"))
+    return g.vertices.join(counts, "v", "left").select("v", F.coalesce("n", F.lit(0)).alias("in_degree"))
+
+
+def callback_block_udf(spark, d):
+    """The block summary by a user's function on each block."""
+    import pandas as pd
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block_id": [rows.block.iloc[0]], "n": [len(rows)], "min_src": [rows.src.min()], "max_src": [rows.src.max()], "sum_w": [int(rows.weight.to_numpy(np.int64).sum())]})
+
+    return part_graph(spark, d).map_blocks(each, "block_id long, n long, min_src long, max_src long, sum_w long", BLOCK)
+
+
+_NAMES = """graph_counts coo_scan coo_scan_weighted vertex_range_scan edge_block_scan request_normalise offsets offsets_slice
+out_degree out_degree_sparse degree_from_offsets first_degrees block_summary block_bounds adaptive_block_size read_progress
+in_degree in_degree_sparse in_degree_distribution in_degree_distribution_sparse max_in_degree max_in_degree_sparse
+wcc_labels wcc_sizes wcc_count wcc_largest wcc_labels_full validation_sum el_lines adj_lines degree_distribution_lines
+wcc_size_lines el_file csx_bin_words g3_bin_words weighted_bin_pairs offsets_bin_words narrow_ids scan_checksum
+sequence_file_scan bvgraph_roundtrip bvgraph_roundtrip_800 bvgraph_roundtrip_weighted bvgraph_range_scan bvgraph_offsets
+bvgraph_wcc_sparse stream_in_degree callback_block_udf""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: globals()[name] for name in _NAMES}
+
+
+_E = """E AS (SELECT src, dst, CAST(SUM(q) AS BIGINT) AS w FROM (
+  SELECT l_partkey AS src, l_quantity AS q, LEAD(l_partkey) OVER (PARTITION BY l_orderkey
+    ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem) s
+  WHERE dst IS NOT NULL GROUP BY src, dst HAVING SUM(q) >= {least}),
+X AS (SELECT src, row_number() OVER (ORDER BY src, dst) - 1 AS edge_idx, dst, w FROM E),
+D AS (SELECT p_partkey AS v, COALESCE(n, 0) AS degree FROM part LEFT JOIN (SELECT src, COUNT(*) AS n FROM E GROUP BY src) g ON src = p_partkey),
+O AS (SELECT v, CAST(COALESCE(SUM(degree) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM D
+  UNION ALL SELECT COUNT(*), CAST(SUM(degree) AS BIGINT) FROM D),
+I AS (SELECT p_partkey AS v, COALESCE(n, 0) AS in_degree FROM part LEFT JOIN (SELECT dst, COUNT(*) AS n FROM E GROUP BY dst) g ON dst = p_partkey)"""
+
+_CC = """, und AS (SELECT src a, dst b FROM E UNION SELECT dst, src FROM E),
+cc(id, comp) USING KEY (id) AS (
+  SELECT p_partkey, p_partkey FROM part
+  UNION
+  SELECT n.id, n.comp FROM (SELECT u.a id, MIN(c2.comp) comp FROM und u JOIN recurring.cc c2 ON c2.id = u.b GROUP BY 1) n
+  JOIN recurring.cc o ON o.id = n.id WHERE n.comp < o.comp)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    full, sparse = (f"WITH {_E.format(least=n)} " for n in (0, HEAVY))
+    wcc = f"WITH RECURSIVE {_E.format(least=HEAVY)}{_CC} "
+    wcc_full = f"WITH RECURSIVE {_E.format(least=0)}{_CC} "
+    asked = ", ".join(str(r) for r in REQUESTS)
+    block = f"edge_idx // {BLOCK}"
+    summary = f"SELECT {block} AS block_id, COUNT(*) AS n, MIN(src) AS min_src, MAX(src) AS max_src, CAST(SUM(w) AS BIGINT) AS sum_w FROM X GROUP BY 1"
+    words = """SELECT {head} + v AS pos, "offset" AS value FROM O UNION ALL SELECT {head} + (SELECT COUNT(*) FROM part) + 1 + edge_idx, dst FROM X"""
+    range_scan = """SELECT src, edge_idx, dst FROM X WHERE edge_idx >= (SELECT "offset" + least(3, degree) FROM O JOIN D USING (v) WHERE v = 10)
+      AND edge_idx < (SELECT "offset" + least(5, degree) FROM O JOIN D USING (v) WHERE v = 150)"""
+    lines = "SELECT degree AS pos, degree || '; ' || cnt || ';' AS line FROM (SELECT in_degree AS degree, COUNT(*) AS cnt FROM I GROUP BY 1)"
+    sizes = "SELECT comp, COUNT(*) AS size FROM cc GROUP BY comp"
+    return {
+        "graph_counts": full + "SELECT (SELECT COUNT(*) FROM part) AS v, (SELECT COUNT(*) FROM E) AS e",
+        "coo_scan": full + "SELECT src, edge_idx, dst FROM X",
+        "coo_scan_weighted": full + "SELECT src, edge_idx, dst, w FROM X",
+        "vertex_range_scan": full + "SELECT src, edge_idx, dst FROM X WHERE src >= 100 AND src < 200",
+        "edge_block_scan": full + range_scan,
+        "request_normalise": full + f""", R(id, sv, se, ev, ee) AS (VALUES {asked}), N AS (SELECT COUNT(*) AS n FROM part),
+          T AS (SELECT R.*, n, CASE WHEN ev < 0 OR ev >= n THEN n ELSE ev END AS ev2, CASE WHEN ev < 0 OR ev >= n THEN 0 WHEN ee < 0 THEN 4611686018427387904 ELSE ee END AS ee2,
+            sv >= n OR (ev >= 0 AND (sv > ev OR (sv = ev AND ee >= 0 AND se > ee))) AS bad FROM R, N),
+          P AS (SELECT O.v, "offset" AS o, COALESCE(degree, 0) AS d FROM O LEFT JOIN D USING (v)),
+          L AS (SELECT T.*, a.o + least(se, a.d) AS lo, b.o + least(ee2, b.d) AS hi0 FROM T LEFT JOIN P a ON a.v = sv LEFT JOIN P b ON b.v = ev2)
+          SELECT CAST(id AS INTEGER) AS id, CAST(sv AS BIGINT) AS sv, CAST(se AS BIGINT) AS se, CAST(ev AS BIGINT) AS ev, CAST(ee AS BIGINT) AS ee,
+            CASE WHEN bad THEN 'rejected' WHEN lo >= hi0 THEN 'empty' ELSE 'ok' END AS status,
+            CAST(CASE WHEN NOT bad THEN lo END AS BIGINT) AS lo, CAST(CASE WHEN NOT bad THEN greatest(lo, hi0) END AS BIGINT) AS hi FROM L""",
+        "offsets": full + 'SELECT v, "offset" FROM O',
+        "offsets_slice": full + 'SELECT v, "offset" FROM O WHERE v BETWEEN 50 AND 100',
+        "out_degree": full + "SELECT v, degree FROM D",
+        "out_degree_sparse": sparse + "SELECT v, degree FROM D",
+        "degree_from_offsets": sparse + "SELECT v, degree FROM D",
+        "first_degrees": full + "SELECT v, degree FROM D ORDER BY v LIMIT 30",
+        "block_summary": full + summary,
+        "block_bounds": full + f""", B AS (SELECT {block} AS block_id, MIN(edge_idx) AS f, MAX(edge_idx) AS l FROM X GROUP BY 1)
+          SELECT block_id, a.src AS start_vertex, f - oa."offset" AS start_edge, b.src AS end_vertex, l + 1 - ob."offset" AS end_edge
+          FROM B JOIN X a ON a.edge_idx = f JOIN X b ON b.edge_idx = l JOIN O oa ON oa.v = a.src JOIN O ob ON ob.v = b.src""",
+        "adaptive_block_size": full + "SELECT COUNT(*) AS e, CASE WHEN COUNT(*) > 1024 THEN greatest(1024, CAST(1 << CAST(floor(log2(COUNT(*)) - 3) AS INTEGER) AS BIGINT)) ELSE 67108864 END AS block_edges FROM E",
+        "read_progress": full + f"SELECT block_id, CAST(SUM(n) OVER (ORDER BY block_id) AS BIGINT) AS edges_read FROM (SELECT {block} AS block_id, COUNT(*) AS n FROM X GROUP BY 1)",
+        "in_degree": full + "SELECT v, in_degree FROM I",
+        "in_degree_sparse": sparse + "SELECT v, in_degree FROM I",
+        "in_degree_distribution": full + "SELECT in_degree AS degree, COUNT(*) AS cnt FROM I GROUP BY 1",
+        "in_degree_distribution_sparse": sparse + "SELECT in_degree AS degree, COUNT(*) AS cnt FROM I GROUP BY 1",
+        "max_in_degree": full + "SELECT MAX(in_degree) AS max_in_degree FROM I",
+        "max_in_degree_sparse": sparse + "SELECT MAX(in_degree) AS max_in_degree FROM I",
+        "wcc_labels": wcc + "SELECT id, comp FROM cc",
+        "wcc_sizes": wcc + sizes,
+        "wcc_count": wcc + "SELECT COUNT(DISTINCT comp) AS components, COUNT(*) AS vertices FROM cc",
+        "wcc_largest": wcc + sizes + " ORDER BY size DESC, comp LIMIT 1",
+        "wcc_labels_full": wcc_full + "SELECT id, comp FROM cc",
+        "validation_sum": full + "SELECT CAST(COUNT(*) + SUM(CAST(COALESCE(lag_dst + 1, src + 1) AS HUGEINT) * (dst + 1)) AS BIGINT) AS validation_sum FROM (SELECT src, dst, LAG(dst) OVER (PARTITION BY src ORDER BY edge_idx) AS lag_dst FROM X)",
+        "el_lines": full + "SELECT edge_idx AS pos, src || ' ' || dst AS line FROM X",
+        "adj_lines": full + """, N AS (SELECT COUNT(*) AS n FROM part) SELECT 0 AS pos, 'AdjacencyGraph' AS line UNION ALL SELECT 1, n::VARCHAR FROM N UNION ALL SELECT 2, COUNT(*)::VARCHAR FROM E
+          UNION ALL SELECT v + 3, "offset"::VARCHAR FROM O, N WHERE v < n UNION ALL SELECT edge_idx + 3 + n, dst::VARCHAR FROM X, N""",
+        "degree_distribution_lines": full + lines,
+        "wcc_size_lines": wcc + f"SELECT comp AS pos, comp || '; ' || size || ';' AS line FROM ({sizes})",
+        "el_file": full + "SELECT src || ' ' || dst AS line FROM X",
+        "csx_bin_words": full + "SELECT 0 AS pos, COUNT(*) AS value FROM part UNION ALL SELECT 1, COUNT(*) FROM E UNION ALL " + words.format(head=2),
+        "g3_bin_words": full + "SELECT 2 AS pos, COUNT(*) AS value FROM part UNION ALL SELECT 3, COUNT(*) FROM E UNION ALL SELECT * FROM (VALUES (0, 3), (1, 1), (4, 4), (5, 8), (6, 0), (7, 0)) UNION ALL " + words.format(head=8),
+        "weighted_bin_pairs": full + "SELECT 2 * edge_idx AS pos, dst AS value FROM X UNION ALL SELECT 2 * edge_idx + 1, w FROM X",
+        "offsets_bin_words": full + 'SELECT v AS pos, "offset" AS value FROM O',
+        "narrow_ids": full + "SELECT edge_idx, dst AS dst4, 4294967295 - dst AS wrapped FROM X",
+        "scan_checksum": "SELECT CAST(SUM(range) AS BIGINT) AS total, COUNT(*) AS n FROM range(1000000)",
+        "sequence_file_scan": "SELECT method, range // 131072 AS block, COUNT(*) * 8 AS bytes, CAST(SUM(range) AS BIGINT) AS total FROM range(1000000), (VALUES ('mmap'), ('pread'), ('read')) m(method) GROUP BY 1, 2",
+        "bvgraph_roundtrip": full + "SELECT src, edge_idx, dst FROM X",
+        "bvgraph_roundtrip_800": full + "SELECT src, edge_idx, dst FROM X",
+        "bvgraph_roundtrip_weighted": full + "SELECT src, edge_idx, dst, w FROM X",
+        "bvgraph_range_scan": full + range_scan,
+        "bvgraph_offsets": full + 'SELECT v, "offset" FROM O',
+        "bvgraph_wcc_sparse": wcc + "SELECT id, comp FROM cc",
+        "stream_in_degree": full + "SELECT v, in_degree FROM I",
+        "callback_block_udf": full + summary,
+    }
