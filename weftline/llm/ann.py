@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm.common import bounded_sample, rows_of
 from weftline.scratch import Scratch
 
 #: Vectors that the mean and the start thresholds are taken from.
@@ -107,6 +108,15 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q: np.
         yield kept_q + a, kept_i, kept_s
 
 
+def collected(rows: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a bounded number of rows, by id."""
+    t = rows.select("vec_id", "v").toArrow().combine_chunks()
+    ids = t["vec_id"].to_numpy()
+    v = t["v"].combine_chunks().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(ids), dim) if len(ids) else np.zeros((0, dim))
+    order = np.argsort(ids, kind="stable")
+    return ids[order], v[order]
+
+
 def nearest(vectors: DataFrame, queries, k: int = 20, epsilon: float = 4.0, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest rows of each query row; ``queries`` is a condition on ``id_col``."""
     spark = vectors.sparkSession
@@ -121,8 +131,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, epsilon: float = 4.0, id_c
     rows = rows.where(F.size("v") == dim)
     if rows.groupBy("vec_id").count().where("count > 1").limit(1).count():
         rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(fit_rows).toPandas()
-    fit_ids, fit_v = sample.vec_id.to_numpy(np.int64), np.array(sample.v.tolist(), np.float64).reshape(len(sample), dim)
+    fit_ids, fit_v = collected(rows_of(rows, bounded_sample(rows.select("vec_id"), "vec_id", fit_rows), "vec_id"), dim)
     mean, turn = fit_v.mean(0), rotation(dim)
     asked = rows.where(queries)
     n_queries = asked.count()
@@ -132,10 +141,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, epsilon: float = 4.0, id_c
     blocks = -(-n_queries // query_block)
     for block in range(blocks):
         # hash buckets of about query_block queries: bounded whatever the number of queries
-        mine = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(8)), F.lit(blocks)) == block).orderBy("vec_id").toPandas()
-        if not len(mine):
+        q_ids, q = collected(asked.where(F.pmod(F.xxhash64("vec_id", F.lit(8)), F.lit(blocks)) == block), dim)
+        if not len(q_ids):
             continue
-        q_ids, q = mine.vec_id.to_numpy(np.int64), np.array(mine.v.tolist(), np.float64).reshape(len(mine), dim)
         floor = np.full(len(q), -np.inf)
         for at, _, s in search_block(fit_ids, fit_v, q_ids, q, floor, mean, turn, k, epsilon):
             full = np.flatnonzero(np.bincount(at, minlength=len(q)) >= k)

@@ -151,7 +151,7 @@ def train(rows: DataFrame, vocabulary_path: str, rounds: int = 2, smooth: float
 
     words = rows.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= most_words)
-    got = ranked.select("lang", "word", "n").toPandas().sort_values(["lang", "n", "word"], ascending=[True, False, True])
+    got = ranked.select("lang", "word", "n").toArrow().to_pandas().sort_values(["lang", "n", "word"], ascending=[True, False, True])
     langs = sorted(got.lang.unique())
     pieces = vocabulary(vocabulary_path)
     probs, other = np.zeros((len(pieces), len(langs))), np.zeros(len(langs))

@@ -77,7 +77,7 @@ def train(rows: DataFrame, bits: int = 20, epochs: int = 4, **ftrl) -> tuple[np.
         at, first = features(data, offsets, bits)
         return pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.float64()), pa.array([at[a:b].astype("<u4").tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], ["doc_id", "label", "at"])
 
-    got = rows.select("doc_id", "text", "label").mapInArrow(per_chunk(pack), "doc_id long, label double, at binary").toPandas()
+    got = rows.select("doc_id", "text", "label").mapInArrow(per_chunk(pack), "doc_id long, label double, at binary").toArrow().to_pandas()
     got["order"] = mix(got.doc_id.fillna(0).to_numpy(np.int64).view(U) + U(1))
     got = got.sort_values(["order", "doc_id", "label"])
     model = Ftrl(bits, **ftrl)
