@@ -45,6 +45,9 @@ class Graph:
         base = check_files(path, self.graph_type)
         self._properties = read_properties(base)
         self._order, self._count = int(self._properties["nodes"]), int(self._properties["arcs"])
+        if "blockEdges" in options:
+            self.block_edges = int(options.pop("blockEdges"))
+        self.max_blocks_in_flight = int(options.pop("maxBlocksInFlight", self.max_blocks_in_flight))
         self.options = {"path": path, "graphType": self.graph_type, **options}
         self._index = None
         self._base = base
