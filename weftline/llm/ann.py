@@ -47,6 +47,24 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def dots_at(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Inner products of a[i] and b[j], gathered a bounded number at a time."""
+    return np.concatenate([np.zeros(0), *(dots(a[i[k : k + step]], b[j[k : k + step]]) for k in range(0, len(i), step))])
+
+
+def start_limits(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, rows: int = 512) -> np.ndarray:
+    """A score that k of these vectors reach for each query (-inf if there are fewer): nothing below
+    it can be among the k best of all."""
+    out = np.full(len(q), -np.inf)
+    size = np.linalg.norm(vectors, axis=1).max(initial=0)
+    for a in range(0, len(q), rows):
+        s = q[a : a + rows] @ vectors.T
+        s[q_ids[a : a + rows, None] == ids[None, :]] = -np.inf
+        if s.shape[1] >= k:
+            out[a : a + rows] = np.partition(s, -k, axis=1)[:, -k] - 1e-9 * size * np.linalg.norm(q[a : a + rows], axis=1)
+    return out
+
+
 class Codes:
     """Packed signs and correction scalars of some vectors."""
 
@@ -96,7 +114,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q: np.
             hit_q, hit_v = np.nonzero(codes.upper(at, unit, norm.astype(np.float32), base, epsilon) >= (limit - 1e-5 * np.abs(limit) - 1e-5)[:, None])
             other = ids[at][hit_v] != qi[hit_q]
             hit_q, hit_v = hit_q[other], hit_v[other]
-            s = dots(qs[hit_q], vectors[at][hit_v])
+            s = dots_at(qs, hit_q, vectors[at], hit_v)
             enough = s >= limit[hit_q]
             kept_q, kept_i, kept_s = np.append(kept_q, hit_q[enough]), np.append(kept_i, ids[at][hit_v[enough]]), np.append(kept_s, s[enough])
             best = best_of(kept_q, kept_i, kept_s, k)
@@ -144,12 +162,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, epsilon: float = 4.0, id_c
         q_ids, q = collected(asked.where(F.pmod(F.xxhash64("vec_id", F.lit(8)), F.lit(blocks)) == block), dim)
         if not len(q_ids):
             continue
-        floor = np.full(len(q), -np.inf)
-        for at, _, s in search_block(fit_ids, fit_v, q_ids, q, floor, mean, turn, k, epsilon):
-            full = np.flatnonzero(np.bincount(at, minlength=len(q)) >= k)
-            low = np.full(len(q), np.inf)
-            np.minimum.at(low, at, s)
-            floor[full] = low[full]  # k vectors reach this, so nothing below it can be among the k best
+        floor = start_limits(q_ids, q, fit_ids, fit_v, k)
         sent = spark.sparkContext.broadcast((q_ids, q.astype(np.float32) if np.array_equal(q, q.astype(np.float32)) else q, floor, mean, turn))
 
         def run(batches, sent=sent):
