@@ -1,7 +1,7 @@
 """Nearest neighbours by inner product from randomly rotated one-bit codes.
 
-A vector less the corpus mean is rotated by a fixed random rotation and stored as its signs,
-one bit per dimension, with three scalars: its distance to the mean, its inner product with the
+A vector less the corpus mean is padded with zeros to ``expand`` times its length, rotated by a
+fixed random rotation and stored as its signs, one bit per dimension, with three scalars: its distance to the mean, its inner product with the
 mean, and the inner product of the rotated unit vector with its own code. From these the inner
 product with a query is estimated without bias, and a bound on the estimate's error holds with a
 probability set by ``epsilon``. Only vectors whose upper bound reaches the query's running k-th
@@ -34,9 +34,10 @@ QUERY_BLOCK = 4096
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
-def rotation(dim: int, seed: int = 5) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+def rotation(dim: int, expand: int = 4, seed: int = 5) -> np.ndarray:
+    """The rows of a random rotation of expand * dim dimensions that unpadded components meet."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((expand * dim, expand * dim)))
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -69,7 +70,7 @@ class Codes:
     """Packed signs and correction scalars of some vectors."""
 
     def __init__(self, vectors: np.ndarray, mean: np.ndarray, turn: np.ndarray):
-        dim = vectors.shape[1]
+        dim = turn.shape[1]
         o = (vectors - mean) @ turn
         self.norm = np.linalg.norm(o, axis=1)
         unit = o / np.maximum(self.norm, 1e-30)[:, None]
@@ -135,7 +136,7 @@ def collected(rows: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], v[order]
 
 
-def nearest(vectors: DataFrame, queries, k: int = 20, epsilon: float = 4.0, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries, k: int = 20, epsilon: float = 3.5, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS, query_block: int = QUERY_BLOCK, expand: int = 4) -> DataFrame:
     """The k nearest rows of each query row; ``queries`` is a condition on ``id_col``."""
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
@@ -150,7 +151,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, epsilon: float = 4.0, id_c
     if rows.groupBy("vec_id").count().where("count > 1").limit(1).count():
         rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
     fit_ids, fit_v = collected(rows_of(rows, bounded_sample(rows.select("vec_id"), "vec_id", fit_rows), "vec_id"), dim)
-    mean, turn = fit_v.mean(0), rotation(dim)
+    mean, turn = fit_v.mean(0), rotation(dim, expand)
     asked = rows.where(queries)
     n_queries = asked.count()
     if not n_queries:
