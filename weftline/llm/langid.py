@@ -7,8 +7,8 @@ probabilities are learned by expectation-maximisation: the backward pass gives t
 count of each piece.
 
 A word is a maximal run of letters (lower-cased); its first piece carries the vocabulary's
-mark for a word start. Each distinct word of a batch is scored once and remembered in a
-bounded cache.
+mark for a word start. Each distinct word is scored once and remembered in a bounded cache
+that lives as long as the Python worker.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; texts are read whole,
 in one pass, without a shuffle; ties go to the alphabetically first language; null languages
@@ -17,12 +17,12 @@ are not learned from; without any language every text is ``und``. Only the text
 
 from __future__ import annotations
 
-import math
+import re
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +33,9 @@ from weftline.llm.textkit import per_chunk
 TRAIN_ROWS = 12000
 MARK = "▁"
 LONGEST = 16
-CACHE = 400_000
-_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+CACHE = 800_000
+_LETTERS = re.compile(r"[^\W\d_]+")
+_caches: dict[str, "WordScores"] = {}
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -93,23 +94,27 @@ def forward_all(words: list[str], pieces: dict[str, int], probs: np.ndarray, oth
         text = MARK + words[k]
         n = lengths[at] = len(text)
         longest = max(longest, n)
-        for j in range(2, n + 1):
-            single = 0 if j == 2 else j - 1
-            for i in range(max(0, j - LONGEST), j):
-                if i != 1 and (p := get(text[i:j])) is not None:
-                    edges.append((j, at, i, p))
-                elif i == single:
-                    edges.append((j, at, i, -1))
-    e = np.array(edges, np.int64)
-    e = e[np.argsort(e[:, 0], kind="stable")]
-    cut = np.searchsorted(e[:, 0], np.arange(longest + 2))
+        for i in range(n):
+            if i == 1:
+                continue
+            single = 2 if i == 0 else i + 1
+            for j in range(single, min(n, i + LONGEST) + 1):
+                p = get(text[i:j])
+                if p is not None:
+                    edges.append(((j << 26 | at) << 6 | i) << 24 | p)  # sorts by end, then word
+                elif j == single:
+                    edges.append(((j << 26 | at) << 6 | i) << 24 | 0xFFFFFF)
+    packed = np.sort(np.array(edges, np.int64))
+    end, word, begin, piece = packed >> 56, packed >> 30 & 0x3FFFFFF, packed >> 24 & 63, packed & 0xFFFFFF
+    piece[piece == 0xFFFFFF] = len(table) - 1
+    cut = np.searchsorted(end, np.arange(longest + 2))
     a = np.zeros((longest + 1, len(short), probs.shape[1]))
     a[0] = 1.0
     for j in range(2, longest + 1):
-        part = e[cut[j] : cut[j + 1]]
-        value = a[part[:, 2], part[:, 1]] * table[part[:, 3]]
-        start = np.flatnonzero(np.diff(part[:, 1], prepend=-1))
-        a[j, part[start, 1]] = np.add.reduceat(value, start)
+        part = slice(cut[j], cut[j + 1])
+        value = a[begin[part], word[part]] * table[piece[part]]
+        start = np.flatnonzero(np.diff(word[part], prepend=-1))
+        a[j, word[part][start]] = np.add.reduceat(value, start)
     out[short] = np.log(np.maximum(a[lengths, np.arange(len(short))], 1e-300))
     return out
 
@@ -170,35 +175,58 @@ def train(rows: DataFrame, vocabulary_path: str, rounds: int = 2, smooth: float
     return {"langs": langs, "probs": probs, "other": other}
 
 
+class WordScores:
+    """Log likelihoods of words: a row of ``table`` for each word seen."""
+
+    def __init__(self, model: dict, pieces: dict[str, int]):
+        self.model, self.pieces = model, pieces
+        self.row: dict[str, int] = {}
+        self.table = np.zeros((1024, len(model["langs"])))
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The words' likelihoods in order."""
+        at = list(map(self.row.get, words))
+        new = list({w for w, k in zip(words, at, strict=True) if k is None})
+        if new:
+            if len(self.row) + len(new) > CACHE:
+                self.row.clear()
+                new = list(set(words))
+            have, need = len(self.row), len(self.row) + len(new)
+            if need > len(self.table):
+                self.table = np.vstack([self.table[:have], np.zeros((max(need, 2 * len(self.table)) - have, self.table.shape[1]))])
+            self.table[have:need] = forward_all(new, self.pieces, self.model["probs"], self.model["other"])
+            self.row.update(zip(new, range(have, need), strict=True))
+            at = list(map(self.row.get, words))
+        return self.table[np.array(at, np.int64)]
+
+
 def identify(docs: DataFrame, model: dict, vocabulary_path: str) -> DataFrame:
     """(doc_id, lang_pred, score): the likeliest language and its posterior, tempered by length."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, mine = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
-        m, pieces, cache = sent.value, vocabulary(vocabulary_path), {}
-        langs, probs, other = m["langs"], m["probs"], m["other"]
+        if mine not in _caches:
+            _caches.clear()
+            _caches[mine] = WordScores(sent.value, vocabulary(vocabulary_path))
+        scores, langs = _caches[mine], sent.value["langs"]
         names = np.array([*langs, "und"], dtype=object)
 
         def one(batch, data, offsets):
             raw = data.tobytes()
-            pred, conf = np.full(len(offsets) - 1, len(langs)), np.zeros(len(offsets) - 1)
-            texts = [Counter(_LETTERS.findall(raw[a:b].decode().lower())) for a, b in zip(offsets, offsets[1:], strict=False)] if langs else []
-            new = [w for w in dict.fromkeys(w for seen in texts for w in seen) if w not in cache]
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list(dict.fromkeys(w for seen in texts for w in seen))
-            if new:
-                cache.update(zip(new, forward_all(new, pieces, probs, other), strict=True))
-            for i, seen in enumerate(texts):
-                if not seen:
-                    continue
-                counts = np.fromiter(seen.values(), float, len(seen))
-                total, n = counts @ np.array([cache[w] for w in seen]), counts.sum()
-                e = np.exp((total - total.max()) / math.sqrt(n))
-                pred[i], conf[i] = int(np.argmax(total)), float(e.max() / e.sum())
-            return pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(names[pred], pa.string()), pa.array(conf)], ["doc_id", "lang_pred", "score"])
-
-        yield from per_chunk(one)(batches)
+            found = [_LETTERS.findall(raw[a:b].decode().lower()) for a, b in zip(offsets, offsets[1:], strict=False)]
+            counts = np.array([len(f) for f in found])
+            if not langs or not counts.any():
+                return pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(["und"] * len(counts), pa.string()), pa.array(np.zeros(len(counts)))], ["doc_id", "lang_pred", "score"])
+            total = np.zeros((counts.sum() + 1, len(langs)))
+            np.cumsum(scores.rows([w for f in found for w in f]), axis=0, out=total[1:])
+            edge = np.concatenate([[0], np.cumsum(counts)])
+            sums = total[edge[1:]] - total[edge[:-1]]
+            e = np.exp((sums - sums.max(1, keepdims=True)) / np.sqrt(np.maximum(counts, 1))[:, None])
+            some = counts > 0
+            pred = np.where(some, sums.argmax(1), len(langs))
+            return pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(names[pred], pa.string()), pa.array(np.where(some, e.max(1) / e.sum(1), 0.0))], ["doc_id", "lang_pred", "score"])
+
+        yield from per_chunk(one, limit=2 << 20)(batches)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
