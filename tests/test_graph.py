@@ -114,6 +114,8 @@ def test_components_random(spark):
             parent[max(a, b)] = min(a, b)
         df = spark.createDataFrame(edges, "src long, dst long")
         assert rows(components(spark.range(n).selectExpr("id AS v"), df), "id", "comp") == [(k, root(k)) for k in range(n)]
+        starred = component_edges(df, local_edges=0)
+        assert rows(starred, "id", "comp") == [(k, root(k)) for k in range(n) if root(k) != k]
     loops = spark.createDataFrame([(1, 1), (None, 2), (5, 4), (4, 5)], "src long, dst long")
     assert rows(component_edges(loops), "id", "comp") == [(5, 4)]
 
