@@ -196,3 +196,21 @@ def test_sequence_scan(spark, tmp_path):
     for method in sequence.METHODS:
         got = sequence.bandwidth(spark, path, 1 << 17, method, 3, rounds=1)
         assert got["right"] and got["min"] <= got["avg"] <= got["max"]
+
+
+def test_text_edge_lists(spark, tmp_path):
+    from weftline.sources.coo import read_edge_list, read_matrix_market
+
+    (tmp_path / "e.el").write_text("# made by hand\n0 1\n\n0 2\n1\t2\n3 3\n")
+    assert collect(read_edge_list(spark, str(tmp_path / "e.el")), "row", "src", "dst") == [(0, 0, 1), (1, 0, 2), (2, 1, 2), (3, 3, 3)]
+    assert collect(read_edge_list(spark, str(tmp_path / "e.el"), start_row=1, end_row=3), "row", "src", "dst") == [(1, 0, 2), (2, 1, 2)]
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n% note\n4 4 3\n1 2 7\n4 4 9\n2 1 1\n")
+    edges, vertices, entries = read_matrix_market(spark, str(tmp_path / "m.mtx"), 0, 2)
+    assert (vertices, entries) == (4, 3) and collect(edges, "row", "src", "dst", "weight") == [(0, 0, 1, 7), (1, 3, 3, 9)]
+    many = "\n".join(f"{k} {k + 1}" for k in range(5000))
+    (tmp_path / "big.el").write_text(many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert collect(read_edge_list(spark, str(tmp_path / "big.el")), "row", "src") == [(k, k) for k in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
