@@ -22,8 +22,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts aligned common blocks from later documents; drops documents of which nothing is left."""
-    out = linedup.line_dedup(docs)
-    return out.where("NOT (n_removed_lines > 0 AND trim(text) = '')").select(*docs.columns)
+    out = linedup.line_dedup(docs).where("NOT (n_removed_lines > 0 AND trim(text) = '')")
+    if "n_chars" in docs.columns:
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, length).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

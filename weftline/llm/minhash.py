@@ -35,7 +35,9 @@ from weftline.scratch import Scratch
 
 #: Bits of a shingle's hash, and so the texts of a chunk that one sort key can tell apart.
 HASH_BITS = 52
+#: Members and shingles, about, of a block of a cluster.
 MEMBERS = 256
+SHINGLES = 200_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +173,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, members:
     links = scratch.table(keyed.join(buckets.hint("shuffle_hash"), "key").where("cid <> rep").select("rep", "cid").distinct())
     clusters = component_edges(links, "rep", "cid")
     clusters = scratch.table(clusters.union(clusters.select(F.col("comp").alias("id"), "comp").distinct()))
-    sizes = scratch.table(clusters.groupBy("comp").agg(F.ceil(F.count("*") / members).cast("int").alias("blocks")))
+    weight = leaders.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("n"))
+    need = F.ceil(F.greatest(F.count("*") / members, F.sum("n") / SHINGLES)).cast("int")
+    sizes = scratch.table(clusters.join(weight.hint("shuffle_hash"), "id").groupBy("comp").agg(need.alias("blocks")))
     member = clusters.join(sizes, "comp").select(F.col("id").alias("cid"), "comp", "blocks")
 
     def tasks(batches):

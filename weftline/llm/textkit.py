@@ -1,6 +1,6 @@
 """Vectorised words, hashes and batches over Arrow text columns.
 
-A batch is cut into chunks of a few MB, so memory is bounded by the chunk size and the
+A batch is cut into chunks of about a MB, so memory is bounded by the chunk size and the
 longest single text. Words are maximal runs of non-separator bytes; hashes are polynomials
 modulo 2**64 taken from prefix sums, so every word or shingle costs a few array operations.
 """
@@ -127,7 +127,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunked(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunked(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches of about ``limit`` bytes of text each, with bytes and offsets."""
     for batch in batches:
         if not batch.num_rows:
@@ -140,7 +140,7 @@ def chunked(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int =
             at = to
 
 
-def per_chunk(f: Callable, text: str = "text", limit: int = 4 << 20) -> Callable:
+def per_chunk(f: Callable, text: str = "text", limit: int = 1 << 20) -> Callable:
     """For mapInArrow: f(batch, data, offsets) gives a RecordBatch for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from weftline.llm.common import bounded_sample, fold, rows_of
 from weftline.llm.textkit import LOWER, NON_WORD, U, Words, mix, per_chunk, sums
 
 #: Most labelled documents that are learned from.
-TRAIN_ROWS = 16000
+TRAIN_ROWS = 10000
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +94,11 @@ def train(rows: DataFrame, bits: int = 20, epochs: int = 4, **ftrl) -> tuple[np.
         at, first = features(data, offsets, bits)
         return pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.float64()), pa.array([at[a:b].astype("<u4").tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], ["doc_id", "label", "at"])
 
-    got = rows.select("doc_id", "text", "label").mapInArrow(per_chunk(pack), "doc_id long, label double, at binary").toArrow().to_pandas()
-    got["order"] = mix(got.doc_id.fillna(0).to_numpy(np.int64).view(U) + U(1))
-    got = got.sort_values(["order", "doc_id", "label"])
+    got = rows.select("doc_id", "text", "label").mapInArrow(per_chunk(pack), "doc_id long, label double, at binary").toArrow()
+    ids, labels, packed = got["doc_id"].to_numpy(), got["label"].to_numpy(), got["at"]
+    order = np.lexsort((labels, ids, mix(ids.astype(np.int64).view(U) + U(1))))
     model = Ftrl(bits, **ftrl)
-    examples = [(np.frombuffer(a, "<u4").astype(np.int64), y) for a, y in zip(got["at"], got.label, strict=True)]
+    examples = [(np.frombuffer(packed[int(k)].as_buffer(), "<u4"), labels[k]) for k in order]  # views of the Arrow table
     held = examples[::5]
     for _ in range(epochs):
         for k, (at, y) in enumerate(examples):
