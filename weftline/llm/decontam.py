@@ -7,8 +7,8 @@ one block at least, so looking up each block of a window's fingerprint finds eve
 the radius. Candidates are then confirmed by the exact weighted Jaccard similarity.
 
 Fingerprints are only taken of windows that can reach the threshold at all: such a window holds
-at least ``threshold`` of an item's number of shingles from the benchmark's shingles, which
-is counted for all windows by prefix sums and loses none.
+at least ``threshold`` of an item's number of shingles from the shingles of items of that length,
+which is counted for all windows by prefix sums and loses none.
 
 Documents are read whole, in one pass and without a shuffle. The benchmark is sent in slices
 of at most ``slice_bytes`` of text, so a larger benchmark means more passes and not a larger
@@ -57,7 +57,6 @@ class Index:
         self.by_length: dict[int, list[int]] = defaultdict(list)
         self.tables: dict[tuple[int, int, int], list[int]] = defaultdict(list)
         self.ids, self.sets, self.prints = [], [], []
-        seen = [np.zeros(0, U)]
         for item_id, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             h = Words(LOWER[raw], np.array([0, len(raw)]), NON_WORD).hashes()
@@ -71,8 +70,14 @@ class Index:
             self.by_length[len(h)].append(at)
             for k, (shift, mask) in enumerate(self.blocks):
                 self.tables[len(h), k, code >> shift & mask].append(at)
-            seen.append(shingles)
-        self.known = {s: np.unique(np.concatenate([self._of(n) for n in self.by_length if min(n, size) == s] or seen[:1])) for s in {min(n, size) for n in self.by_length}}
+        self.lengths = sorted(self.by_length)
+        # of each shingle size: the benchmark's shingles, and which item lengths hold each
+        self.known: dict[int, tuple[np.ndarray, np.ndarray, list[int]]] = {}
+        for s in sorted({min(n, size) for n in self.lengths}):
+            lengths = [n for n in self.lengths if min(n, size) == s]
+            each = [np.unique(self._of(n)) for n in lengths]
+            known = np.unique(np.concatenate(each))
+            self.known[s] = known, np.stack([np.isin(known, e) for e in each], 1), lengths
 
     def _of(self, n: int) -> np.ndarray:
         return np.array([s for at in self.by_length[n] for s in self.sets[at]], U)
@@ -96,32 +101,33 @@ def matches(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: floa
     words = Words(LOWER[data], offsets, NON_WORD)
     h, first = words.hashes(), words.first
     best: dict[tuple[int, int], tuple] = {}
-    for size, known in index.known.items():
-        if not len(known):
-            continue
+    for size, (known, held, lengths) in index.known.items():
         table = np.zeros(1 << 20, bool)
         table[(known >> U(44)).astype(np.int64)] = True
         hashes = window_hash(h, size, 0x9FB21C651E98DF25)
         hit = _known(hashes, known, table)
         total = np.concatenate([[0], np.cumsum(hit)])
-        lengths = [n for n in index.by_length if min(n, size) == size]
-        least = min(max(1, int(np.ceil(threshold * (n - size + 1) - 1e-9))) for n in lengths)
+        needs = {n: max(1, int(np.ceil(threshold * (n - size + 1) - 1e-9))) for n in lengths}
         stop = np.maximum(first[1:] - size + 1, first[:-1])
         stop, start = np.minimum(stop, len(hashes)), np.minimum(first[:-1], len(hashes))
-        for doc in np.flatnonzero(total[stop] - total[start] >= least):
+        for doc in np.flatnonzero(total[stop] - total[start] >= min(needs.values())):
             a, b = int(start[doc]), int(stop[doc])
-            for n in lengths:
-                m = n - size + 1
-                need = max(1, int(np.ceil(threshold * m - 1e-9)))
-                wide = min(m, b - a)
-                starts = np.arange(a, b - wide + 1)
-                for s in starts[total[starts + wide] - total[starts] >= need]:
-                    window = hashes[s : s + wide]
+            at = np.flatnonzero(hit[a:b])
+            which = held[np.searchsorted(known, hashes[a:b][at])]
+            for k in np.flatnonzero(which.sum(0) >= [needs[n] for n in lengths]):
+                n = lengths[k]
+                count = np.zeros(b - a + 1, np.int64)
+                count[at + 1] = which[:, k]
+                count = np.cumsum(count)
+                wide = min(n - size + 1, b - a)
+                starts = np.flatnonzero(count[wide:] - count[:-wide] >= needs[n])
+                for s in starts:
+                    window = hashes[a + s : a + s + wide]
                     for item, distance in index.near(n, fingerprint(window)):
                         similarity = weighted_jaccard(Counter(window.tolist()), index.sets[item])
                         key = (int(doc), item)
                         if similarity >= threshold and (key not in best or similarity > best[key][2]):
-                            best[key] = (int(s - a), wide + size - 1, similarity, distance)
+                            best[key] = (int(s), wide + size - 1, similarity, distance)
     return [(doc, item, *row) for (doc, item), row in best.items()]
 
 
