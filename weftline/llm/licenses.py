@@ -4,7 +4,7 @@ The whole text, its paragraphs, lines and sentences are normalised (lower case,
 digits only, copyright lines dropped) and compared with each template by the Dice coefficient
 of their bigram multisets. Two texts of a and b bigrams cannot exceed 2 min(a, b) / (a + b), so a
 unit only meets the templates within those bounds, found by bisection in the sorted sizes.
-Texts that share no bigram with any template are passed over.
+Texts with too few of every template's bigrams are passed over.
 
 One pass without a shuffle; the templates are a fixed, small list. Cases: null, empty and
 wordless texts match nothing; long texts are compared whole and by parts; repeated rows each
@@ -74,7 +74,31 @@ class Templates:
         cuts = np.flatnonzero(data == 0)
         words = Words(data, np.concatenate([[0], cuts, [len(data)]]), NON_WORD)
         both = words.owner()[1:] == words.owner()[:-1]
-        self.hashes = np.unique(window_hash(words.hashes(), 2, 0x9FB21C651E98DF25)[both])
+        h, owner = window_hash(words.hashes(), 2, 0x9FB21C651E98DF25)[both], words.owner()[1:][both]
+        self.hashes, at = np.unique(h, return_inverse=True)
+        self.counts = np.zeros((len(self.hashes), int(owner.max()) + 1), np.int64)
+        np.add.at(self.counts, (at, owner), 1)
+        marks = "copyright c ©".encode()
+        self.marks = Words(np.frombuffer(marks, np.uint8), np.array([0, len(marks)]), NON_WORD).hashes()
+
+    def possible(self, data: np.ndarray, offsets: np.ndarray, threshold: float) -> np.ndarray:
+        """Texts with enough bigrams of some template. A Dice coefficient of t with b bigrams needs
+        t * b / (2 - t) common ones; texts that may have copyright lines to drop pass with any."""
+        words = Words(LOWER[data], offsets, NON_WORD)
+        h = words.hashes()
+        pairs = window_hash(h, 2, 0x9FB21C651E98DF25)
+        at = np.flatnonzero(np.isin(pairs, self.hashes))
+        place = np.searchsorted(self.hashes, pairs[at])
+        key = np.unique(np.repeat(np.arange(len(offsets) - 1), words.counts)[at] * len(self.hashes) + place)
+        doc, place = key // len(self.hashes), key % len(self.hashes)
+        total = np.zeros((len(offsets) - 1, self.counts.shape[1]), np.int64)
+        np.add.at(total, doc, self.counts[place])
+        need = np.ceil(threshold / (2 - threshold) * self.counts.sum(0) - 1e-9)
+        marked = np.zeros(len(offsets) - 1, bool)
+        marked[words.owner()[np.isin(h, self.marks)]] = True
+        signs = np.flatnonzero(data == 0xA9)
+        marked[np.searchsorted(offsets, signs, "right") - 1] = True
+        return np.flatnonzero((total >= need).any(1) | marked & (total > 0).any(1))
 
     def match(self, unit: Counter, threshold: float):
         """(name, dice) of templates that the size bounds admit and the threshold keeps."""
@@ -106,12 +130,8 @@ def scan(docs: DataFrame, threshold: float = 0.9, templates: dict[str, list[str]
     def run(batches):
         table = Templates(chosen)
         for batch, data, offsets in chunked(batches):
-            words = Words(LOWER[data], offsets, NON_WORD)
-            found = np.isin(window_hash(words.hashes(), 2, 0x9FB21C651E98DF25), table.hashes)
-            total = np.concatenate([[0], np.cumsum(found)])
-            edge = np.minimum(words.first, len(total) - 1)
             rows = []
-            for k in np.flatnonzero(np.diff(total[edge]) >= 1):
+            for k in table.possible(data, offsets, threshold):
                 best: dict[str, tuple] = {}
                 for kind, unit in units(data[offsets[k] : offsets[k + 1]].tobytes().decode()):
                     b = bigrams(unit)
