@@ -387,6 +387,27 @@ def test_line_dedup_equals_brute_force(spark):
     assert linedup.line_dedup(make(spark, [])).collect() == []
 
 
+def all_pairs(rows, block_chars=50):
+    """What any earlier document deletes, with no choice of pairs."""
+    docs = {d: t.split("\n") for d, t in rows if d is not None and t}
+    solid = lambda line: sum(c > 32 for c in line.encode())
+    out = {}
+    for d, lines in docs.items():
+        for e in docs:
+            if e < d and any(solid(x) for x in lines):
+                out.setdefault(d, set()).update(linedup.deletable(docs[e], lines, [solid(z) for z in lines], block_chars))
+    return {d: sorted(v) for d, v in out.items() if v}
+
+
+def test_long_line_in_many_documents_is_deleted(spark):
+    draw = random.Random(40)
+    line, short = "a long passage on one line that very many documents hold in common", ["the first half of a passage, too short", "and the second half of that passage"]
+    rows = [(k, "\n".join([prose(draw, 9), line, prose(draw, 9)])) for k in range(70)]
+    rows += [(100 + k, "\n".join([prose(draw, 5), short[0], "", short[1], prose(draw, 5)])) for k in range(70)]
+    got = {r.id: list(r.lines) for r in linedup.deleted_lines(make(spark, rows)).collect()}
+    assert got == all_pairs(rows) == {k: [1] for k in range(1, 70)} | {k: [1, 2, 3] for k in range(101, 170)}
+
+
 # licenses
 
 

@@ -1,16 +1,17 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found by hashes: a line that at most ``rare`` documents hold, a pair
-of successive lines, or the whole sequence of lines. Each document is paired with the earliest
-holder (smallest doc_id) of each such key, so there are never more pairs than keys in documents,
-however many share one. A pair is aligned by patience diff on line hashes: lines that are
-unique in both and in the same order (longest increasing subsequence) anchor the alignment,
-which then grows over equal neighbours and recurses between anchors. Runs of aligned lines with
-at least ``block_chars`` bytes, or that make up a whole document, are deleted from the later
-document. Decisions are made on the input, not on what other deletions leave.
-
-A line that more than ``rare`` documents hold makes no pair by itself: it is boilerplate unless
-its neighbours repeat with it, and then the pairs of lines find it.
+Documents that overlap are found by hashes: a line that at most ``rare`` documents hold, a shortest
+run of successive lines (often one line) with ``block_chars`` bytes, or the whole sequence of lines.
+Each document is paired with the earliest holder (smallest doc_id) of each such key, so there are
+never more pairs than keys in documents, however many share one. A pair is aligned by patience diff
+on line hashes: lines that are unique in both and in the same order (longest increasing
+subsequence) anchor the alignment, which then grows over equal neighbours and recurses between
+anchors. Runs of aligned lines with at least ``block_chars`` bytes, or that make up a whole
+document, are deleted from the later document. Decisions are made on the input, not on what other
+deletions leave.
+
+``rare`` bounds only lines too short to be deleted by themselves: a block that is long enough holds
+a shortest run, and these make pairs however many documents hold them.
 
 Cases: a null text stays null and an empty one empty, neither has lines to delete; texts of one
 line are deleted only as whole copies or by a long line; blank lines neither make pairs nor
@@ -108,6 +109,18 @@ def deletable(earlier: list[int], later: list[int], size: list[int], block_chars
     return out
 
 
+def shortest_runs(h: np.ndarray, size: np.ndarray, block_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the shortest runs of lines with at least block_chars bytes, from each
+    line on and back from each line. They cover every line of any longer run, and depend on it alone."""
+    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    need, n = max(block_chars, 1), len(size)
+    ends = np.searchsorted(total, total[:-1] + need, "left")
+    starts = np.searchsorted(total, total[1:] - need, "right") - 1
+    on, back = np.flatnonzero(ends <= n), np.flatnonzero(starts >= 0)
+    starts, ends = np.concatenate([on, starts[back]]), np.concatenate([ends[on], back + 1])
+    return starts, ends, mix(span_hash(h, starts, ends, 0xA24BAED4963EE407) + (ends - starts).astype(U) * BASE)
+
+
 def deleted_lines(docs: DataFrame, rare: int = 64, block_chars: int = 50) -> DataFrame:
     """(id, lines): sorted positions of the lines to delete, for documents that have any."""
     scratch = Scratch(docs.sparkSession, "linedup")
@@ -122,15 +135,16 @@ def deleted_lines(docs: DataFrame, rare: int = 64, block_chars: int = 50) -> Dat
     lined = scratch.table(source.mapInArrow(cut, "id long, h binary, size binary"))
 
     def keys(batches):
-        """Distinct keys of each document: kind 0 lines, 1 pairs of lines, 2 the whole."""
+        """Distinct keys of each document: kind 0 lines, 2 the whole, 3 shortest runs that reach block_chars."""
         for batch in batches:
             ids, kinds, out = [], [], []
             for i, raw, sizes in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), batch.column("size").to_pylist(), strict=True):
-                h = np.frombuffer(raw, U)[np.frombuffer(sizes, "<u4") > 0]
-                if not len(h):
+                h, size = np.frombuffer(raw, U), np.frombuffer(sizes, "<u4")
+                solid = h[size > 0]
+                if not len(solid):
                     continue
-                whole = mix(span_hash(h, np.array([0]), np.array([len(h)]), 0xD1342543DE82EF95) + U(len(h)))
-                for kind, got in ((0, np.unique(h)), (1, np.unique(mix(h[:-1] * U(0xA24BAED4963EE407) + h[1:]))), (2, whole)):
+                whole = mix(span_hash(solid, np.array([0]), np.array([len(solid)]), 0xD1342543DE82EF95) + U(len(solid)))
+                for kind, got in ((0, np.unique(solid)), (2, whole), (3, np.unique(shortest_runs(h, size, block_chars)[2]))):
                     out.append(got)
                     ids.append(np.full(len(got), i))
                     kinds.append(np.full(len(got), kind, np.int8))
