@@ -408,6 +408,19 @@ def test_long_line_in_many_documents_is_deleted(spark):
     assert got == all_pairs(rows) == {k: [1] for k in range(1, 70)} | {k: [1, 2, 3] for k in range(101, 170)}
 
 
+def test_line_dedup_equals_all_pairs(spark):
+    draw = random.Random(41)
+    common = [prose(draw, 13) for _ in range(5)] + ["share this page", "all rights reserved", ""]
+    rows = [(k, "\n".join(draw.choice(common) if draw.random() < 0.7 else prose(draw, 9) for _ in range(draw.randint(1, 7)))) for k in range(120)]
+    long, odd = prose(draw, 15), [prose(draw, 16), prose(draw, 17)]
+    rows += [(200, "\n".join([prose(draw, 3), long, prose(draw, 3), long, prose(draw, 3)])), (201, prose(draw, 4) + "\n" + long), (202, long + "\n" + prose(draw, 4))]
+    rows += [(210, "\n".join(odd)), (211, "\n".join([*odd[::-1], "end"])), (212, "\n".join([prose(draw, 2), *odd[::-1], "end"]))]
+    rows += [(220, "\n".join(["x y", "short one", "z w"] * 2)), (221, "head\nshort one\ntail"), (222, "short one")]
+    docs = make(spark, rows).repartition(3)
+    got = {r.id: list(r.lines) for r in linedup.deleted_lines(docs, rare=64).collect()}
+    assert got == all_pairs(rows) and got[202] == [0] and got[212] == [1, 2, 3] and got[222] == [0]
+
+
 # licenses
 
 

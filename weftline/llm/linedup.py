@@ -2,16 +2,18 @@
 
 Documents that overlap are found by hashes: a line that at most ``rare`` documents hold, a shortest
 run of successive lines (often one line) with ``block_chars`` bytes, or the whole sequence of lines.
-Each document is paired with the earliest holder (smallest doc_id) of each such key, so there are
-never more pairs than keys in documents, however many share one. A pair is aligned by patience diff
+Each document is paired with the earliest holder (smallest doc_id) of each such key. Lines that stay
+uncovered although an earlier document holds a run with them are tried with the other holders, until
+they are covered or the holders exhausted; so are documents whose lines all have earlier holders. The
+result is that of aligning every document with all earlier ones. A pair is aligned by patience diff
 on line hashes: lines that are unique in both and in the same order (longest increasing
 subsequence) anchor the alignment, which then grows over equal neighbours and recurses between
 anchors. Runs of aligned lines with at least ``block_chars`` bytes, or that make up a whole
 document, are deleted from the later document. Decisions are made on the input, not on what other
 deletions leave.
 
-``rare`` bounds only lines too short to be deleted by themselves: a block that is long enough holds
-a shortest run, and these make pairs however many documents hold them.
+``rare`` only chooses which pairs are tried first: a block that is long enough holds a shortest run,
+and these make pairs however many documents hold them.
 
 Cases: a null text stays null and an empty one empty, neither has lines to delete; texts of one
 line are deleted only as whole copies or by a long line; blank lines neither make pairs nor
@@ -152,10 +154,9 @@ def deleted_lines(docs: DataFrame, rare: int = 64, block_chars: int = 50) -> Dat
                 yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(ids))], ["key", "kind", "id"])
 
     keyed = lined.mapInArrow(keys, "key long, kind byte, id long")
-    owners = scratch.table(keyed.groupBy("key", "kind").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("n")).where(f"owner < last AND (kind > 0 OR n <= {rare})").select("key", "kind", "owner"))
-    pairs = scratch.table(keyed.join(owners.hint("shuffle_hash"), ["key", "kind"]).where("owner < id").select("owner", "id").distinct())
-    early = lined.groupBy("id").agg(F.min("h").alias("earlier")).withColumnRenamed("id", "owner")
-    early = scratch.table(early)
+    owners = scratch.table(keyed.groupBy("key", "kind").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("n")).where("owner < last").drop("last"))
+    links = scratch.table(keyed.join(owners.hint("shuffle_hash"), ["key", "kind"]))
+    early = scratch.table(lined.groupBy("id").agg(F.min("h").alias("earlier")).withColumnRenamed("id", "owner"))
 
     def align(batches):
         for batch in batches:
@@ -163,11 +164,63 @@ def deleted_lines(docs: DataFrame, rare: int = 64, block_chars: int = 50) -> Dat
             out = [(i, gone) for i, e, h, size in zip(*cols, strict=True) if (gone := deletable(np.frombuffer(e, U).tolist(), np.frombuffer(h, U).tolist(), np.frombuffer(size, "<u4").tolist(), block_chars))]
             yield pa.record_batch([pa.array([i for i, _ in out], pa.int64()), pa.array([g for _, g in out], pa.list_(pa.int32()))], ["id", "gone"])
 
-    ready = pairs.join(early, "owner").join(lined, "id").select("id", "earlier", "h", "size")
-    gone = ready.mapInArrow(align, "id long, gone array<int>")
-    # a document has at most as many pairs as keys, and so this list is bounded by its own lines
-    out = scratch.table(gone.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("lines")))
-    scratch.drop(owners, pairs, early, lined)
+    def aligned(pairs):
+        ready = pairs.join(early, "owner").join(lined, "id").select("id", "earlier", "h", "size")
+        return ready.mapInArrow(align, "id long, gone array<int>")
+
+    def merged(parts):
+        # every position is below the document's number of lines, and so is the list after array_distinct
+        return scratch.table(parts.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("lines")))
+
+    def uncovered(first):
+        """Keys whose lines are not all deleted although an earlier document holds them. A whole document may
+        also go if another has its lines in order: then each line has an earlier holder, and the rarest stands for all."""
+
+        def run(batches):
+            for batch in batches:
+                out = []
+                for i, raw, sizes, gone, asked in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "size", "lines", "asked")), strict=True):
+                    h, size = np.frombuffer(raw, U), np.frombuffer(sizes, "<u4")
+                    left = np.ones(len(h), bool)
+                    left[gone or []] = False
+                    if not left.any():
+                        continue
+                    counts = {(a["kind"], a["key"]): a["n"] for a in asked}
+                    starts, ends, keys = shortest_runs(h, size, block_chars)
+                    before = np.concatenate([[0], np.cumsum(left)])
+                    open_runs = set(keys[before[ends] > before[starts]].view(np.int64).tolist())
+                    out += [(i, k, 3, counts[3, k]) for k in open_runs if (3, k) in counts]
+                    solid = set(h[size > 0].view(np.int64).tolist())
+                    lines = [(n, k) for (kind, k), n in counts.items() if kind == 0]
+                    if lines and (not first or len(lines) == len(solid)):
+                        n, k = min(lines)
+                        out.append((i, k, 0, n))
+                cols = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int8(), pa.int64()), strict=True)], ["id", "key", "kind", "n"])
+
+        return run
+
+    def still(asked, gone, first=False):
+        grouped = asked.groupBy("id").agg(F.collect_set(F.struct("key", "kind", "n")).alias("asked"))
+        rows = grouped.join(lined, "id").join(gone, "id", "left").select("id", "h", "size", "lines", "asked")
+        return scratch.table(rows.mapInArrow(uncovered(first), "id long, key long, kind byte, n long").distinct())
+
+    pairs = scratch.table(links.where(f"owner < id AND (kind > 0 OR n <= {rare})").select("owner", "id").distinct())
+    out = merged(aligned(pairs))
+    asked = still(links.where("owner < id AND kind IN (0, 3)"), out, True)
+    # the rest of the holders, a growing share of each key's at a time; which come first does not change the union
+    low, high = 0, 16
+    share = (F.pmod(F.xxhash64("owner"), F.lit(1 << 40)) / float(1 << 40)) * F.col("n")
+    holders = links.select("key", "kind", F.col("id").alias("owner"))
+    used = [pairs, asked]
+    while not asked.isEmpty():
+        more = asked.join(holders, ["key", "kind"]).where(F.col("owner") < F.col("id")).where((share >= low) & (share < high))
+        pairs = scratch.table(more.select("owner", "id").distinct())
+        before, out = out, merged(aligned(pairs).unionByName(out.withColumnRenamed("lines", "gone")))
+        asked = still(asked.where(f"n > {high}"), out)
+        used += [pairs, asked, before]
+        low, high = high, 16 * high
+    scratch.drop(owners, links, early, lined, *used)
     return out
 
 
