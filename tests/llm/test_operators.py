@@ -444,6 +444,28 @@ def test_license_scan(spark):
     assert {k[0] for k in got} == {1, 3, 4, 8, None} | ({2} if (2, "Apache-2.0") in got else set()) and got[8, "MIT"] == (1.0, "sentence")
 
 
+def test_license_inside_a_longer_text(spark):
+    draw = random.Random(50)
+    mit, apache = licenses.TEMPLATES["MIT"][1], licenses.TEMPLATES["Apache-2.0"][1]
+    cut = [mit.replace(mark, "\n\n" + mark) for mark in ("The above copyright",)][0].replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    rows = [
+        (1, prose(draw, 60) + "\n\n" + cut + "\n\n" + prose(draw, 60)), (2, prose(draw, 80) + " " + mit + " " + prose(draw, 80)),
+        (3, "# " + apache.replace(". ", ".\n# ") + "\nimport os\n" + prose(draw, 70)), (4, "Copyright (c) 2001 Some One. " + mit), (5, prose(draw, 300)),
+    ]
+    got = {(r.doc_id, r.license): r.dice for r in licenses.scan(make(spark, rows)).collect()}
+    assert {(1, "MIT"), (2, "MIT"), (3, "Apache-2.0"), (4, "MIT")} <= set(got) and min(got.values()) > 0.99 and 5 not in {d for d, _ in got}
+
+
+def test_best_window_equals_brute_force():
+    draw = random.Random(51)
+    for _ in range(60):
+        template, words = draw.choices("abc", k=draw.randint(3, 9)), draw.choices("abcd", k=draw.randint(3, 30))
+        table, text = licenses.Templates({"x": [" ".join(template)]}), " ".join(words)
+        spans = [licenses.dice(licenses.bigrams(" ".join(words[i:j])), licenses.bigrams(" ".join(template))) for i, j in itertools.combinations(range(len(words) + 1), 2)]
+        got = max((d for _, d, _ in table.windows(text, 0.6)), default=0)
+        assert abs(got - (max(spans) if max(spans) >= 0.6 else 0)) < 1e-12
+
+
 # substring dedup
 
 

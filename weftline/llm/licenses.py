@@ -2,7 +2,8 @@
 
 The whole text, its paragraphs, lines and sentences are normalised (lower case, letters and
 digits only, copyright lines dropped) and compared with each template by the Dice coefficient
-of their bigram multisets. Two texts of a and b bigrams cannot exceed 2 min(a, b) / (a + b), so a
+of their bigram multisets. So is every window of the words, with and without copyright lines, that
+starts and ends with a bigram of the template: the best window is one of these. Two texts of a and b bigrams cannot exceed 2 min(a, b) / (a + b), so a
 unit only meets the templates within those bounds, found by bisection in the sorted sizes.
 Texts with too few of every template's bigrams are passed over.
 
@@ -56,8 +57,12 @@ _BARE, _SENTENCE, _PARAGRAPH = re.compile(r"[^0-9a-z\x80-\U0010ffff]+"), re.comp
 _COPYRIGHT = re.compile(r"^\s*(?:copyright|\(c\)|©).*$", re.I | re.M)
 
 
+def words_of(text: str) -> list[str]:
+    return [w for w in _BARE.split(text.lower()) if w]
+
+
 def bigrams(text: str) -> Counter:
-    words = [w for w in _BARE.split(_COPYRIGHT.sub(" ", text).lower()) if w]
+    words = words_of(_COPYRIGHT.sub(" ", text))
     return Counter(zip(words, words[1:], strict=False))
 
 
@@ -69,6 +74,12 @@ class Templates:
     def __init__(self, templates: dict[str, list[str]]):
         rows = sorted(((sum((b := bigrams(t)).values()), name, b) for name, texts in templates.items() for t in texts), key=lambda r: r[:2])
         self.sizes, self.rows = [r[0] for r in rows], rows
+        self.places: dict[tuple, list[tuple[int, int]]] = {}
+        self.caps = []
+        for k, (_, _, b) in enumerate(rows):
+            self.caps.append(np.array(list(b.values()), np.int64))
+            for i, pair in enumerate(b):
+                self.places.setdefault(pair, []).append((k, i))
         raw = "\0".join(t for texts in templates.values() for t in texts).encode()
         data = LOWER[np.frombuffer(raw, np.uint8)]
         cuts = np.flatnonzero(data == 0)
@@ -108,6 +119,42 @@ class Templates:
             if (d := dice(unit, b)) >= threshold:
                 yield name, d
 
+    def windows(self, text: str, threshold: float):
+        """(name, dice, words) of the best window of each template that reaches the threshold."""
+        stripped = _COPYRIGHT.sub(" ", text)
+        for part in (text, stripped) if stripped != text else (text,):
+            words = words_of(part)
+            hits: dict[int, list[tuple[int, int]]] = {}
+            for at, pair in enumerate(zip(words, words[1:], strict=False)):
+                for k, i in self.places.get(pair, ()):
+                    hits.setdefault(k, []).append((at, i))
+            for k, found in hits.items():
+                size, name, _ = self.rows[k]
+                if len(found) < threshold / (2 - threshold) * size - 1e-9:
+                    continue
+                if (got := best_window(np.array(found, np.int64), self.caps[k], size, threshold))[0] >= threshold:
+                    yield name, got[0], got[1] + 1
+
+
+def best_window(found: np.ndarray, caps: np.ndarray, size: int, threshold: float) -> tuple[float, int]:
+    """Largest Dice coefficient and bigrams of a window, the longer of equals. ``found`` has the places of template
+    bigrams and which they are, ``caps`` how often the template has each."""
+    at, which = found[:, 0], found[:, 1]
+    stops = np.searchsorted(at, at + int(size * (2 - threshold) / threshold + 1e-9), "left")
+    order = np.argsort(which, kind="stable")
+    nth = np.empty(len(at), np.int64)
+    nth[order] = np.arange(len(at)) - np.searchsorted(which[order], which[order])
+    best, gone = (0.0, 0), np.zeros(len(caps), np.int64)
+    need = threshold / (2 - threshold) * size - 1e-9
+    for s, e in enumerate(stops):
+        if e - s >= need:
+            w = which[s:e]
+            d = 2 * np.cumsum(nth[s:e] - gone[w] < caps[w]) / (at[s:e] - at[s] + 1 + size)
+            j = len(d) - 1 - int(np.argmax(d[::-1]))
+            best = max(best, (float(d[j]), int(at[s + j] - at[s] + 1)))
+        gone[which[s]] += 1
+    return best
+
 
 def units(text: str):
     """The text and its parts, larger ones first."""
@@ -133,11 +180,15 @@ def scan(docs: DataFrame, threshold: float = 0.9, templates: dict[str, list[str]
             rows = []
             for k in table.possible(data, offsets, threshold):
                 best: dict[str, tuple] = {}
-                for kind, unit in units(data[offsets[k] : offsets[k + 1]].tobytes().decode()):
+                text = data[offsets[k] : offsets[k + 1]].tobytes().decode()
+                for kind, unit in units(text):
                     b = bigrams(unit)
                     for name, d in table.match(b, threshold) if b else ():
                         if name not in best or d > best[name][0]:
                             best[name] = (d, kind, sum(b.values()) + 1)
+                for name, d, n in table.windows(text, threshold):
+                    if name not in best or d > best[name][0]:
+                        best[name] = (d, "window", n)
                 rows += [(batch.column("doc_id")[int(k)].as_py(), name, *best[name]) for name in sorted(best)]
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int32()), strict=True)], ["doc_id", "license", "dice", "unit", "unit_words"])
