@@ -116,6 +116,25 @@ def test_pack_round_trip(spark):
     assert used <= 1.03 * -(-sum(r.length for r in got) // 256) + 1
 
 
+def test_added_tokens_have_the_ids_of_the_json_file():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.with_added(packing.encoder(RANKS, PATTERN).encode_ordinary, packing.added_tokens(RANKS))
+    end = "<|endoftext|>"
+    assert encode(f"a{end}b") == [64, 50256, 65]
+    for text in ("", end, end * 3, f" {end}  x ", f"a b\n{end}\n\ndon't", f"<|{end}|>", "<|endoftext", "é" + end):
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_op1_gives_added_tokens_their_ids(spark, tmp_path):
+    from weftline.llm import registry
+
+    spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (r,) = registry.op1_best_fit_packing(spark, str(tmp_path)).collect()
+    assert (r.length, r.ids_crc32) == (4, zlib.crc32(np.array([64, 50256, 65, 0], "<u4").tobytes()))
+
+
 def test_pack_empty_and_repeated(spark):
     assert packing.pack(make(spark, []), RANKS, PATTERN).collect() == []
     got = packing.pack(make(spark, [(1, "a b"), (1, "a b"), (1, None)]), RANKS, PATTERN, 4).collect()

@@ -11,15 +11,19 @@ Pieces find their places without a join on rows: a piece's rank among those of i
 length (from counts per partition) selects the pattern, the sequence and the offset.
 
 Cases: null and empty texts are one piece with the end token alone; texts longer than the
-capacity are cut into pieces of exactly the capacity, the first one shorter; repeated rows are
+capacity are cut into pieces of exactly the capacity, the first one shorter; strings in ``tokens``
+(of ``added_tokens``) have their own ids, and without it are ordinary text; repeated rows are
 packed each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +48,38 @@ def encoder(ranks_path: str, pattern: str):
     return _encoders[ranks_path]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """Ids of the strings that the JSON file beside the rank file takes out of the text before its merges."""
+    path = Path(ranks_path).with_suffix(".json")
+    tokens = json.loads(path.read_text(encoding="utf-8"))["added_tokens"] if path.exists() else []
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+            raise ValueError(f"added token {t['content']!r} does not match plainly")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def with_added(encode, tokens: dict[str, int]):
+    """``encode`` for the text between added tokens, with the ids of these."""
+    if not tokens:
+        return encode
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")")
+
+    def run(text: str) -> list[int]:
+        if not cut.search(text):
+            return encode(text)
+        out: list[int] = []
+        for k, part in enumerate(cut.split(text)):
+            out += [tokens[part]] if k % 2 else encode(part)
+        return out
+
+    return run
+
+
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, tokens: dict[str, int] | None = None) -> DataFrame:
     """Pieces of every document with the checksum of their ids."""
 
     def run(batches):
-        encode = encoder(ranks_path, pattern).encode_ordinary
+        encode = with_added(encoder(ranks_path, pattern).encode_ordinary, tokens or {})
         for batch, data, offsets in chunked(batches):
             raw, ids = data.tobytes(), batch.column("doc_id").to_pylist()
             out: list[tuple] = []
@@ -137,7 +168,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, np.int64) for n, rows in table.items()}
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, tokens: dict[str, int] | None = None) -> DataFrame:
     """Pieces with the sequence and offset that each is placed at."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
@@ -155,7 +186,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, e
                 seen[int(v)] += int(c)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank)], [*batch.schema.names, "rank"])
 
-    made = scratch.table(pieces(docs, ranks_path, pattern, capacity, end_id).withColumn("block", F.spark_partition_id()).mapInArrow(ranked, PIECES + ", block int, rank long"))
+    made = scratch.table(pieces(docs, ranks_path, pattern, capacity, end_id, tokens).withColumn("block", F.spark_partition_id()).mapInArrow(ranked, PIECES + ", block int, rank long"))
     per_block = made.groupBy("length", "block").agg(F.count("*").alias("n"))
     # at most capacity lengths; the counts of blocks stay on the executors
     totals = {r.length: r.n for r in per_block.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -21,9 +21,10 @@ def _vocab(name: str) -> str:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from weftline.llm.packing import pack
+    from weftline.llm.packing import added_tokens, pack
 
-    return pack(_table(spark, sf_dir, "documents"), _vocab("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ranks = _vocab("byte_bpe_50k.tiktoken")
+    return pack(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, tokens=added_tokens(ranks))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
