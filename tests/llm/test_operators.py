@@ -475,6 +475,13 @@ def test_license_inside_a_longer_text(spark):
     assert {(1, "MIT"), (2, "MIT"), (3, "Apache-2.0"), (4, "MIT")} <= set(got) and min(got.values()) > 0.99 and 5 not in {d for d, _ in got}
 
 
+def test_whole_license_files(spark):
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause"]
+    rows = [(k, "Some words first.\n\n" + licenses.TEMPLATES[name][-1] + "\n\nand after") for k, name in enumerate(names)]
+    got = {(r.doc_id, r.license): r.dice for r in licenses.scan(make(spark, rows)).collect()}
+    assert all(got.get((k, name), 0) > 0.99 for k, name in enumerate(names))
+
+
 def test_best_window_equals_brute_force():
     draw = random.Random(51)
     for _ in range(60):

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ TEMPLATES = {
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     ],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -52,6 +54,14 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_NAMES = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+TEMPLATES["BSD-3-Clause"] = [TEMPLATES["BSD-2-Clause"][0] + _BSD_NAMES + _BSD_END]
+TEMPLATES["BSD-2-Clause"].append(TEMPLATES["BSD-2-Clause"][0] + _BSD_END)
+#: Whole license texts, by file name.
+for _file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+    TEMPLATES.setdefault(_file.stem, []).append(_file.read_text(encoding="utf-8"))
+
 RESULT = "doc_id long, license string, dice double, unit string, unit_words int"
 _BARE, _SENTENCE, _PARAGRAPH = re.compile(r"[^0-9a-z\x80-\U0010ffff]+"), re.compile(r"(?<=[.;!?])\s+"), re.compile(r"\n\s*\n")
 _COPYRIGHT = re.compile(r"^\s*(?:copyright|\(c\)|©).*$", re.I | re.M)
@@ -80,7 +90,7 @@ class Templates:
             self.caps.append(np.array(list(b.values()), np.int64))
             for i, pair in enumerate(b):
                 self.places.setdefault(pair, []).append((k, i))
-        raw = "\0".join(t for texts in templates.values() for t in texts).encode()
+        raw = "\0".join(_COPYRIGHT.sub(" ", t) for texts in templates.values() for t in texts).encode()
         data = LOWER[np.frombuffer(raw, np.uint8)]
         cuts = np.flatnonzero(data == 0)
         words = Words(data, np.concatenate([[0], cuts, [len(data)]]), NON_WORD)
