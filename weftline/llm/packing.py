@@ -1,9 +1,9 @@
 """Best-fit packing of token pieces into sequences, by exact-complement hashing.
 
 Texts are tokenised once and cut into pieces. What has to be planned is then only how many
-pieces of each length there are, at most ``capacity`` numbers. For a gap that is left open, hash
-tables of the lengths still available, of their pair sums and of their triple sums give a
-combination that fills it exactly; as many copies of it are consumed as the counts allow. Lengths
+pieces of each length there are, at most ``capacity`` numbers. For a gap that is left open, a scan
+of the lengths still available, instead of hash tables of their pair and triple sums, gives one
+to three of them that fill it exactly; as many copies of it are consumed as the counts allow. Lengths
 for which no combination fills the gap go through best fit. The plan is a short list
 of patterns with multiplicities, of a size bounded by the capacity and not by the rows.
 
@@ -101,7 +101,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     """Patterns (lengths of one sequence, descending) and how many sequences use each.
 
     The longest length that is left opens a sequence; the gap is filled exactly by one, two
-    or three lengths if the hash tables hold them, preferring combinations of long lengths,
+    or three lengths if a scan of those left finds them, preferring combinations of long lengths,
     which are the hardest to place. Sequences that no combination completes are filled by best
     fit: the longest length that still fits, until none does.
     """
