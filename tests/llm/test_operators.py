@@ -361,25 +361,94 @@ def test_increasing_and_patience():
     assert linedup.patience([], [1]) == [] and linedup.patience([1, 1], [1, 1]) == [(0, 0), (1, 1)]
 
 
+def solid(line):
+    return sum(c > 32 for c in line.encode())
+
+
+def plain_patience(x, y):
+    """Aligned positions of two lists of lines, from the definition: recursion on anchors, an increasing subsequence
+    by dynamic programming (of equally long ones the one that ends, and goes on backwards, with the least positions)."""
+    out = []
+    while x and y and x[0][1] == y[0][1]:
+        out.append((x[0][0], y[0][0]))
+        x, y = x[1:], y[1:]
+    tail = []
+    while x and y and x[-1][1] == y[-1][1]:
+        tail.append((x[-1][0], y[-1][0]))
+        x, y = x[:-1], y[:-1]
+    if x and y:
+        here = {}
+        for i, (_, line) in enumerate(x):
+            if [z for _, z in x].count(line) == 1 and [z for _, z in y].count(line) == 1:
+                here[line] = i
+        both = [(here[line], j) for j, (_, line) in enumerate(y) if line in here]
+        length, back = [], []
+        for k, (i, _) in enumerate(both):
+            before = [m for m in range(k) if both[m][0] < i]
+            best = max((length[m] for m in before), default=0)
+            length.append(best + 1)
+            back.append(min((m for m in before if length[m] == best), key=lambda m: both[m][0], default=None))
+        if both:
+            k = min((k for k in range(len(both)) if length[k] == max(length)), key=lambda k: both[k][0])
+            chain = []
+            while k is not None:
+                chain.append(both[k])
+                k = back[k]
+            i0 = j0 = 0
+            for i, j in reversed(chain):
+                out += plain_patience(x[i0:i], y[j0:j]) + [(x[i][0], y[j][0])]
+                i0, j0 = i + 1, j + 1
+            out += plain_patience(x[i0:], y[j0:])
+    return sorted(out + tail)
+
+
+def runs_of(lines, block_chars):
+    """Shortest runs (start, stop) of lines with enough bytes: none that a shorter one with the same start or the same end is in."""
+    out = set()
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines) + 1):
+            size = [solid(x) for x in lines[a:b]]
+            if sum(size) >= block_chars and (sum(size[:-1]) < block_chars or sum(size[1:]) < block_chars):
+                out.add((a, b))
+    return out
+
+
 def brute_lines(rows, rare=64, block_chars=50):
-    docs = {}
-    for doc, text in rows:
-        if doc is not None and text:
-            docs[doc] = text.split("\n")
-    keys, out = {}, {}
-    solid = lambda line: sum(c > 32 for c in line.encode())
+    """Deleted positions of each document (with unique ids), by the definition and without any code of the operator."""
+    docs = {doc: text.split("\n") for doc, text in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0])}
+    first, out = {}, {}
     for doc, lines in docs.items():
-        body = [x for x in lines if solid(x)]
-        for k in {(0, x) for x in body} | {(1, *p) for p in itertools.pairwise(body)} | ({(2, *body)} if body else set()):
-            keys.setdefault(k, set()).add(doc)
-    pairs = {(min(v), d) for k, v in keys.items() if k[0] or len(v) <= rare for d in v if d != min(v)}
-    for e, d in pairs:
-        code = {}
-        x, y = ([code.setdefault(line, len(code)) for line in docs[k]] for k in (e, d))
-        out.setdefault(d, set()).update(linedup.deletable(x, y, [solid(z) for z in docs[d]], block_chars))
+        if first.setdefault(tuple(lines), doc) != doc:
+            out[doc] = set(range(len(lines)))
+    texts = {doc: docs[doc] for doc in first.values()}
+    holders = {}
+    for doc, lines in texts.items():
+        for key in {("line", x) for x in lines if solid(x)} | {("run", *lines[a:b]) for a, b in runs_of(lines, block_chars)}:
+            holders.setdefault(key, []).append(doc)
+    for key, docs_of in holders.items():
+        if len(docs_of) > rare and key[0] == "run":
+            for doc in docs_of[1:]:
+                for a, b in runs_of(texts[doc], block_chars):
+                    if texts[doc][a:b] == list(key[1:]):
+                        out.setdefault(doc, set()).update(range(a, b))
+    for e, d in {p for docs_of in holders.values() if len(docs_of) <= rare for p in itertools.combinations(docs_of, 2)}:
+        pairs = plain_patience(list(enumerate(texts[e])), list(enumerate(texts[d])))
+        if len(pairs) == len(texts[d]):
+            out.setdefault(d, set()).update(range(len(texts[d])))
+        block = []
+        for k, (x, y) in enumerate(pairs):
+            block = [*block, y] if k and pairs[k - 1] == (x - 1, y - 1) else [y]
+            if sum(solid(texts[d][i]) for i in block) >= block_chars:
+                out.setdefault(d, set()).update(block)
     return {d: sorted(v) for d, v in out.items() if v}
 
 
+def cut_lines(docs, rows, **options):
+    """Deleted positions of each document, as the operator has them."""
+    texts = {d: t for d, t in rows if t}
+    return {r.id: list(range(len(texts[r.id].split("\n")))) if r.lines is None else list(r.lines) for r in linedup.deleted_lines(docs, **options).collect()}
+
+
 def test_line_dedup_equals_brute_force(spark):
     draw = random.Random(12)
     shared = [[prose(draw, 12) for _ in range(draw.randint(2, 5))] for _ in range(6)]
@@ -391,7 +460,7 @@ def test_line_dedup_equals_brute_force(spark):
         rows.append((k, "\n".join(lines)))
     rows += [(100, rows[4][1]), (101, rows[4][1]), (102, None), (103, ""), (104, "\n\n"), (105, "one line"), (106, "one line"), (None, rows[4][1])]
     docs = make(spark, rows).repartition(4)
-    got = {r.id: list(r.lines) for r in linedup.deleted_lines(docs, rare=3).collect()}
+    got = cut_lines(docs, rows, rare=3)
     want = brute_lines(rows, rare=3)
     assert got == want and 100 in want and 106 in want
     out = linedup.line_dedup(docs, rare=3)
@@ -406,28 +475,16 @@ def test_line_dedup_equals_brute_force(spark):
     assert linedup.line_dedup(make(spark, [])).collect() == []
 
 
-def all_pairs(rows, block_chars=50):
-    """What any earlier document deletes, with no choice of pairs."""
-    docs = {d: t.split("\n") for d, t in rows if d is not None and t}
-    solid = lambda line: sum(c > 32 for c in line.encode())
-    out = {}
-    for d, lines in docs.items():
-        for e in docs:
-            if e < d and any(solid(x) for x in lines):
-                out.setdefault(d, set()).update(linedup.deletable(docs[e], lines, [solid(z) for z in lines], block_chars))
-    return {d: sorted(v) for d, v in out.items() if v}
-
-
 def test_long_line_in_many_documents_is_deleted(spark):
     draw = random.Random(40)
     line, short = "a long passage on one line that very many documents hold in common", ["the first half of a passage, too short", "and the second half of that passage"]
     rows = [(k, "\n".join([prose(draw, 9), line, prose(draw, 9)])) for k in range(70)]
     rows += [(100 + k, "\n".join([prose(draw, 5), short[0], "", short[1], prose(draw, 5)])) for k in range(70)]
-    got = {r.id: list(r.lines) for r in linedup.deleted_lines(make(spark, rows)).collect()}
-    assert got == all_pairs(rows) == {k: [1] for k in range(1, 70)} | {k: [1, 2, 3] for k in range(101, 170)}
+    assert cut_lines(make(spark, rows), rows) == brute_lines(rows) == {k: [1] for k in range(1, 70)} | {k: [1, 2, 3] for k in range(101, 170)}
 
 
-def test_line_dedup_equals_all_pairs(spark):
+@pytest.mark.parametrize("rare", [1, 3, 64])
+def test_line_dedup_with_common_lines(spark, rare):
     draw = random.Random(41)
     common = [prose(draw, 13) for _ in range(5)] + ["share this page", "all rights reserved", ""]
     rows = [(k, "\n".join(draw.choice(common) if draw.random() < 0.7 else prose(draw, 9) for _ in range(draw.randint(1, 7)))) for k in range(120)]
@@ -436,8 +493,45 @@ def test_line_dedup_equals_all_pairs(spark):
     rows += [(210, "\n".join(odd)), (211, "\n".join([*odd[::-1], "end"])), (212, "\n".join([prose(draw, 2), *odd[::-1], "end"]))]
     rows += [(220, "\n".join(["x y", "short one", "z w"] * 2)), (221, "head\nshort one\ntail"), (222, "short one")]
     docs = make(spark, rows).repartition(3)
-    got = {r.id: list(r.lines) for r in linedup.deleted_lines(docs, rare=64).collect()}
-    assert got == all_pairs(rows) and got[202] == [0] and got[212] == [1, 2, 3] and got[222] == [0]
+    got = cut_lines(docs, rows, rare=rare)
+    assert got == brute_lines(rows, rare) and got[202] == [0] and (rare < 64 or got[222] == [0])
+
+
+@pytest.mark.parametrize("holders", [64, 65])
+def test_line_dedup_has_no_cliff_at_rare(spark, holders):
+    draw = random.Random(43)
+    line = "a passage of well over fifty bytes, which every one of these documents holds"
+    rows = [(k, "\n".join([prose(draw, 9), line, prose(draw, 9)])) for k in range(holders)]
+    assert cut_lines(make(spark, rows), rows, rare=64) == {k: [1] for k in range(1, holders)}
+
+
+def test_line_dedup_pairs_with_every_earlier_holder(spark):
+    a, b, c = (x * 3 for x in ("first shared passage ", "second shared passage ", "own words only "))
+    two, three = (2, f"{a}\nx\n{b}"), (3, f"y\n{a}\nz\n{b}")
+    alone = cut_lines(make(spark, [two, three]), [two, three])
+    crossed = (1, f"{b}\n{c}\n{a}")
+    assert alone == {3: [1, 3]} and cut_lines(make(spark, rows := [crossed, two, three]), rows)[3] == [1, 3]
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    shared, own = "a line that two documents have in common, of over fifty bytes", "a sentence that no other document holds, whatever its number"
+    rows = [(1, f"{shared}\nend"), (2, f"{shared}\nx"), (2, f"{own}\ny"), (2, f"{own}\ny")]
+    out = sorted((r.doc_id, r.text, r.n_removed_lines) for r in linedup.line_dedup(make(spark, rows)).collect())
+    assert out == sorted([(1, rows[0][1], 0), (2, "x", 1), (2, rows[2][1], 0), (2, rows[2][1], 0)])
+
+
+def test_line_dedup_replaces_columns_named_like_its_counts(spark):
+    df = spark.createDataFrame([(1, "x\ny", 5, 6, "a")], "doc_id long, text string, n_lines int, N_Removed_Lines int, weftline_id_0 string")
+    out = linedup.line_dedup(df)
+    assert out.columns == ["doc_id", "text", "weftline_id_0", "n_lines", "n_removed_lines"] and tuple(out.first()) == (1, "x\ny", "a", 2, 0)
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    draw = random.Random(44)
+    lines = [prose(draw, 9) for _ in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines[:9_000], "between", *lines[9_000:]])), (3, "word " * 300_000)]
+    got = cut_lines(make(spark, rows), rows)
+    assert got == {2: [*range(9_000), *range(9_001, 20_001)]}
 
 
 # licenses
@@ -575,6 +669,46 @@ def test_near_duplicates_cases(spark):
     assert minhash.near_duplicates(make(spark, []), 3, 85).collect() == []
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_near_duplicates_settle_in_stars_or_blocks(spark, rounds):
+    """A chain in which only neighbours are alike, beside copies of one text with a word changed."""
+    draw = random.Random(61)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[6 * k : 6 * k + 100])) for k in range(50)]
+    base = [f"b{k}" for k in range(90)]
+    for k in range(100, 160):
+        text = base[:]
+        text[draw.randrange(90)] = f"odd{k}"
+        rows.append((k, " ".join(text)))
+    got = {r.doc_id: (r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(make(spark, rows).repartition(3), 3, 85, members=16, rounds=rounds).collect()}
+    assert sorted(got.values()) == sorted(brute_near(rows, 3, 85))
+
+
+def test_near_duplicates_ship_a_linear_number_of_sets(spark, monkeypatch):
+    """5,000 different near copies: rows that meet in comparisons stay a small multiple of the members."""
+    draw = random.Random(62)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for k in range(5_000):
+        text = base[:]
+        text[draw.randrange(150)] = f"odd{k}"
+        rows.append((k, " ".join(text)))
+    made, plain = [], minhash._Finder.confirm_blocks
+    monkeypatch.setattr(minhash._Finder, "confirm_blocks", lambda self, left, *rest: made.append(left.select("cid").distinct().count()) or plain(self, left, *rest))
+    stars = minhash._Finder.confirm_stars
+    monkeypatch.setattr(minhash._Finder, "confirm_stars", lambda self, pairs, sets: made.append(pairs.count()) or stars(self, pairs, sets))
+    out = minhash.near_duplicates(make(spark, rows).repartition(8), 5, 80)
+    assert {r.component_id for r in out.select("component_id").distinct().collect()} == {0} and sum(made) <= 30 * len(rows)
+
+
+def test_first_of_group_acts_on_rows(spark):
+    one, other = prose(random.Random(63), 40), prose(random.Random(64), 40)
+    near = one.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, one, 1), (2, one, 2), (2, other, 3), (2, other, 3), (3, near, 4), (None, one, 5), (4, None, 6), (5, "", 7), (5, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, weftline_part_0 int")
+    got = [tuple(r) for r in minhash.first_of_group(df).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], *rows[5:]], key=str)
+
+
 def test_tables_meet_their_miss_rate():
     for percent in (80, 85):
         t = minhash.Tables(percent / 100)

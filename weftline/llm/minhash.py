@@ -6,18 +6,22 @@ Every pair of a first and a second key is a table key, so the number of tables i
 the collections while the minhashes computed only grow with their sum. The collections are
 sized so that a pair at the threshold misses all tables with a probability of ``miss`` at most.
 
-1. Documents with equal sets (128-bit sums over the set) become one class.
-2. Each table bucket links its classes to its smallest one: as many rows as members, however
-   large the bucket. Components of these candidate links are clusters.
-3. Clusters are compared on full sets. Large ones are cut into blocks and each task holds two
-   blocks at most; it gives the links of a spanning forest of what it confirmed, never all
-   pairs. Every pair of a cluster is confirmed or refused on full sets.
-4. Components of the confirmed links, by smallest doc_id, are joined back to all documents.
+1. Documents with equal sets (128-bit sums over the set) become one class, with a number.
+2. Classes that share a table key form a bucket; buckets with the same classes are one. In a few
+   rounds each bucket's first class is confirmed against all others of the bucket on full sets
+   (as many rows as classes, however large the bucket) and then leaves it. A bucket is settled
+   as soon as its classes are all in one group of confirmed links.
+3. What is left of unsettled buckets is joined to clusters and compared block by block: a task
+   holds two blocks at most and gives the links of a spanning forest of what it confirmed, never
+   all pairs. So every pair of a bucket is confirmed or refused on full sets, or needless
+   because its classes are linked already.
+4. Components of the confirmed links are joined back to all documents.
 
 Cases: null and empty texts have an empty set and stand alone; with fewer words than a shingle
-the whole sequence is the one shingle; rows that share a doc_id are one vertex; rows with a
-null doc_id stand alone with a null component and are kept; other columns are ignored; an empty
-table gives an empty result.
+the whole sequence is the one shingle; rows that share a doc_id are vertices of their own unless
+their texts are equal, and are linked only by their sets; rows with a null doc_id stand alone with a
+null component and are kept; other columns, whatever their names, are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,15 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textkit import LOWER, U, Words, chunked, minima, mix, text_bytes, window_hash, window_starts
+from weftline.llm.common import free_name, modest_batches
+from weftline.llm.textkit import LOWER, U, Words, chunked, give_back, minima, mix, sums, window_hash, window_starts
 from weftline.operators.components import component_edges
 from weftline.scratch import Scratch
 
 #: Bits of a shingle's hash, and so the texts of a chunk that one sort key can tell apart.
 HASH_BITS = 52
-#: Members and shingles, about, of a block of a cluster.
-MEMBERS = 256
-SHINGLES = 200_000
+#: Members and shingles, about, of a block of a cluster, and members that one task compares with a star's centre.
+MEMBERS = 1024
+SHINGLES = 500_000
+STAR = 512
+#: Rounds of stars before what is left is compared in blocks.
+ROUNDS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +72,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
 class Tables:
     """How many keys each collection has, and the minhashes that they are made of."""
 
-    def __init__(self, threshold: float, rows_a: int = 3, rows_b: int = 2, miss: float = 3e-4, seed: int = 23):
+    def __init__(self, threshold: float, rows_a: int = 2, rows_b: int = 2, miss: float = 3e-4, seed: int = 23):
         need = lambda r: max(1, math.ceil(math.log(miss / 2) / math.log(1 - threshold**r)))
         self.rows_a, self.rows_b = rows_a, rows_b
         self.a, self.b = need(rows_a), need(rows_b)
@@ -96,7 +104,13 @@ class Tables:
         return mix(one[:, :, None] * U(0x27D4EB2F165667C5) + two[:, None, :]).reshape(len(s), -1)
 
 
-def confirmed(values: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def alike(common: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
+    """100 * intersection >= percent * union, from the sizes of the intersections and of the sets."""
+    common = np.rint(common).astype(np.int64)
+    return 100 * common >= percent * (one + two - common)
+
+
+def confirmed(values: list[np.ndarray], percent: int, wide: int = 2048) -> list[tuple[int, int]]:
     """Pairs of sets with 100 * intersection >= percent * union."""
     sizes = np.array([len(v) for v in values])
     n = len(values)
@@ -109,15 +123,16 @@ def confirmed(values: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     shared = np.repeat(count > 1, count)
     column, row = np.repeat(np.cumsum(count > 1) - 1, count)[shared], owner[shared]
     width, common = int((count > 1).sum()), np.zeros((n, n), np.float32)
-    for a in range(0, width, 8192):  # exact: counts stay below 2**24 in a chunk of 8192
-        part = slice(*np.searchsorted(column, (a, a + 8192)))
-        dense = np.zeros((n, min(8192, width - a)), np.float32)
+    for a in range(0, width, wide):  # exact: counts stay below 2**24 in a chunk
+        part = slice(*np.searchsorted(column, (a, a + wide)))
+        dense = np.zeros((n, min(wide, width - a)), np.float32)
         dense[row[part], column[part] - a] = 1
         common += dense @ dense.T
-    common = np.rint(common).astype(np.int64)
-    ok = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    i, j = np.nonzero(np.triu(ok, 1))
-    return list(zip(i.tolist(), j.tolist(), strict=True))
+    out: list[tuple[int, int]] = []
+    for a in range(0, n, 256):
+        i, j = np.nonzero(np.triu(alike(common[a : a + 256], sizes[a : a + 256, None], sizes[None, :], percent), a + 1))
+        out += zip((i + a).tolist(), j.tolist(), strict=True)
+    return out
 
 
 def spanning(ids: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -139,89 +154,230 @@ def spanning(ids: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(ids[root(k)], ids[k]) for k in range(len(ids)) if ids[root(k)] != ids[k]]
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, members: int = MEMBERS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
-    spark = docs.sparkSession
-    scratch, tables = Scratch(spark, "minhash"), Tables(percent / 100)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def sketch(batches):
-        for whole, _, _ in chunked(batches):
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                values, first = shingle_sets(*text_bytes(batch.column("text")), size)
-                total = [np.add.reduceat(np.append(mix(values ^ U(salt)), U(0)), first[:-1]) if len(first) > 1 else first for salt in (0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35)]
+def stars(rows: tuple[np.ndarray, ...], data: np.ndarray, first: np.ndarray, centre: tuple | None, percent: int):
+    """Members that are alike to the centre of their star. ``rows``: star, part, whether it is the centre, member.
+
+    Gives the positions found and the last centre, as a star may go on in the next batch.
+    """
+    star, part, is_centre, _ = rows
+    cut = np.flatnonzero((np.diff(star, prepend=star[0] - 1) != 0) | (np.diff(part, prepend=part[0] - 1) != 0))
+    found = []
+    for a, b in zip(cut, np.append(cut[1:], len(star)), strict=True):
+        if is_centre[a]:
+            centre = (star[a], part[a], data[first[a] : first[a + 1]].copy())
+            a += 1
+        if a == b or centre is None or centre[:2] != (star[b - 1], part[b - 1]):
+            continue
+        values, against = data[first[a] : first[b]], centre[2]
+        hit = against[np.minimum(np.searchsorted(against, values), len(against) - 1)] == values
+        common = sums(hit.astype(np.float64), first[a : b + 1] - first[a])
+        found.append(a + np.flatnonzero(alike(common, len(against), np.diff(first[a : b + 1]), percent)))
+    return np.concatenate([np.zeros(0, np.int64), *found]), centre
+
+
+def set_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and spans of a binary column of 64-bit sets, without a copy."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return data.view(U), (at - at[0]) // 8
+
+
+class _Finder:
+    """Tables of one call."""
+
+    def __init__(self, docs: DataFrame, size: int, percent: int, members: int):
+        modest_batches(docs.sparkSession)
+        self.scratch, self.tables = Scratch(docs.sparkSession, "minhash"), Tables(percent / 100)
+        self.size, self.percent, self.members = size, percent, members
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), "text")
+
+    def sketched(self) -> DataFrame:
+        """Set size, 128-bit sum and minhashes of every row."""
+        tables, size = self.tables, self.size
+
+        def sketch(batches):
+            for batch, data, offsets in chunked(batches):
+                values, first = shingle_sets(data, offsets, size)
+                total = [np.add.reduceat(np.append(mix(values ^ U(salt)), U(0)), first[:-1]) for salt in (0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35)]
                 n = np.diff(first)
                 rows = tables.sketches(values, first)
-                yield pa.record_batch([batch.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(np.where(n > 0, t, U(0)).view(np.int64)) for t in total), pa.array([r.tobytes() if k else b"" for r, k in zip(rows, n, strict=True)], pa.binary())], ["doc_id", "n", "s1", "s2", "sketch"])
-
-    sets = scratch.table(texts.mapInArrow(sketch, "doc_id long, n long, s1 long, s2 long, sketch binary"))
-    linkable = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch.table(linkable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("cid")))
-    leaders = linkable.join(classes.select("cid", F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc_id") == F.col("cid")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left_semi")
-
-    def keys(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint32).reshape(part.num_rows, -1)
-                found = tables.keys(rows)
-                yield pa.record_batch([pa.array(found.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("doc_id")), found.shape[1]))], ["key", "cid"])
-
-    keyed = leaders.select("doc_id", "sketch").mapInArrow(keys, "key long, cid long")
-    buckets = scratch.table(keyed.groupBy("key").agg(F.min("cid").alias("rep"), F.max("cid").alias("last")).where("rep < last").select("key", "rep"))
-    links = scratch.table(keyed.join(buckets.hint("shuffle_hash"), "key").where("cid <> rep").select("rep", "cid").distinct())
-    clusters = component_edges(links, "rep", "cid")
-    clusters = scratch.table(clusters.union(clusters.select(F.col("comp").alias("id"), "comp").distinct()))
-    weight = leaders.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("n"))
-    need = F.ceil(F.greatest(F.count("*") / members, F.sum("n") / SHINGLES)).cast("int")
-    sizes = scratch.table(clusters.join(weight.hint("shuffle_hash"), "id").groupBy("comp").agg(need.alias("blocks")))
-    member = clusters.join(sizes, "comp").select(F.col("id").alias("cid"), "comp", "blocks")
-
-    def tasks(batches):
-        """Sets of cluster members, once for each task that compares them."""
-        for batch, data, offsets in chunked(batches):
-            for at in range(0, batch.num_rows, 4096):
-                values, first = shingle_sets(data[offsets[at] : offsets[min(at + 4096, batch.num_rows)]], offsets[at : at + 4097] - offsets[at], size)
-                out: list[tuple] = []
-                for k, (cid, comp, blocks) in enumerate(zip(*(batch.column(c).slice(at, 4096).to_pylist() for c in ("cid", "comp", "blocks")), strict=True)):
-                    blob = values[first[k] : first[k + 1]].tobytes()
-                    if not blob:
-                        continue
-                    own = int(mix(np.array([cid], np.int64).view(U))[0]) % blocks
-                    out += [(comp, min(own, o), max(own, o), own, cid, blob) for o in range(blocks) if o != own or blocks == 1]
-                cols = list(zip(*out, strict=True)) or [[]] * 6
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["comp", "x", "y", "own", "cid", "set"])
-
-    work = texts.join(member.hint("shuffle_hash"), F.col("doc_id") == F.col("cid")).select("cid", "comp", "blocks", "text").mapInArrow(tasks, "comp long, x int, y int, own int, cid long, set binary")
-
-    def compare(batches):
-        """Runs of rows of one task: members of one or two blocks."""
-
-        def settle(rows: list[tuple]):
-            rows.sort(key=lambda r: (r[1], r[2]))
-            return spanning([r[2] for r in rows], confirmed([np.frombuffer(r[3], U) for r in rows], percent))
-
-        rows: list[tuple] = []
-        out: list[tuple[int, int]] = []
-        for batch in batches:
-            for comp, x, y, own, cid, blob in zip(*(batch.column(c).to_pylist() for c in ("comp", "x", "y", "own", "cid", "set")), strict=True):
-                if rows and rows[0][0] != (comp, x, y):
-                    out += settle(rows)
-                    rows = []
-                rows.append(((comp, x, y), own, cid, blob))
-            if len(out) > 50_000:
-                yield pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["src", "dst"])
-                out = []
-        if rows:
-            out += settle(rows)
-        if out:
-            yield pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["src", "dst"])
-
-    found = work.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(compare, "src long, dst long")
-    comps = scratch.table(component_edges(scratch.table(found)))
-    named = scratch.table(classes.join(comps, F.col("cid") == F.col("id"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn"), F.coalesce("comp", "cid").alias("comp")))
-    scratch.drop(buckets, links, clusters, sizes)
-    alone = sets.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    together = linkable.join(named, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") == F.col("cn"))).select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
-    return together.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+                yield pa.record_batch([batch.column("doc_id"), batch.column("part"), pa.array(n.astype(np.int64)), *(pa.array(np.where(n > 0, t, U(0)).view(np.int64)) for t in total), pa.array([r.tobytes() if k else b"" for r, k in zip(rows, n, strict=True)], pa.binary())], ["doc_id", "part", "n", "s1", "s2", "sketch"])
+
+        return self.scratch.table(self.texts.mapInArrow(sketch, "doc_id long, part long, n long, s1 long, s2 long, sketch binary"))
+
+    def bucketed(self, classes: DataFrame) -> DataFrame:
+        """(key, rep, cid) of buckets of two classes or more, each set of classes once: ``rep`` is a bucket's
+        first class, ``cid`` each of its others."""
+        tables = self.tables
+
+        def keys(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    rows = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint32).reshape(part.num_rows, -1)
+                    found = tables.keys(rows)
+                    yield pa.record_batch([pa.array(found.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("cid")), found.shape[1]))], ["key", "cid"])
+            give_back()
+
+        keyed = classes.select("cid", "sketch").mapInArrow(keys, "key long, cid long")
+        marks = [F.bit_xor(F.xxhash64("cid", F.lit(salt))).alias(f"mark{salt}") for salt in (1, 2)]
+        buckets = keyed.groupBy("key").agg(F.min("cid").alias("rep"), F.max("cid").alias("high"), F.count("*").alias("m"), *marks).where("rep < high")
+        chosen = self.scratch.table(buckets.groupBy("rep", "high", "m", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "rep"))
+        out = self.scratch.table(keyed.join(chosen.hint("shuffle_hash"), "key").where("cid <> rep").select("key", "rep", "cid"))
+        self.scratch.drop(chosen)
+        return out
+
+    def sets(self, wanted: DataFrame, rows: DataFrame) -> DataFrame:
+        """(cid, set) of classes (cid, first_id, first_part)."""
+        texts, size = self.texts, self.size
+        if not rows.groupBy("doc_id", "part").count().where("count > 1").isEmpty():
+            texts = texts.groupBy("doc_id", "part").agg(F.min("text").alias("text"))
+
+        def shingled(batches):
+            for batch, data, offsets in chunked(batches):
+                values, first = shingle_sets(data, offsets, size)
+                blob = pa.py_buffer(values.tobytes())
+                sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((8 * first).astype(np.int64).tobytes()), blob]).cast(pa.binary())
+                yield pa.record_batch([batch.column("cid"), sets], ["cid", "set"])
+
+        joined = texts.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("first_id")) & (F.col("part") == F.col("first_part")))
+        return self.scratch.table(joined.select("cid", "text").mapInArrow(shingled, "cid long, set binary"))
+
+    def confirm_stars(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(src, dst) of pairs (rep, cid) that are alike: the centre's set goes to each task of its star once."""
+        percent = self.percent
+        width = pairs.groupBy("rep").agg(F.ceil(F.count("*") / STAR).cast("int").alias("width"))
+        member = pairs.join(width, "rep").select("rep", F.pmod(F.xxhash64("cid"), "width").cast("int").alias("task"), F.lit(False).alias("centre"), "cid")
+        centre = width.select("rep", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("task"), F.lit(True).alias("centre"), F.col("rep").alias("cid"))
+        work = member.unionByName(centre).join(sets, "cid").select("rep", "task", "centre", "cid", "set")
+
+        def compare(batches):
+            last = None
+            for batch in batches:
+                if batch.num_rows:
+                    rows = tuple(np.asarray(batch.column(c)) if c != "centre" else batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "task", "centre", "cid"))
+                    at, last = stars(rows, *set_column(batch.column("set")), last, percent)
+                    yield pa.record_batch([pa.array(rows[0][at]), pa.array(rows[3][at])], ["src", "dst"])
+            give_back()
+
+        dealt = work.repartition("rep", "task").sortWithinPartitions("rep", "task", F.desc("centre"))
+        return self.scratch.table(dealt.mapInArrow(compare, "src long, dst long"))
+
+    def confirm_blocks(self, left: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+        """(src, dst) that span the alike pairs of the buckets' classes (key, cid); ``sizes`` (cid, n)."""
+        percent = self.percent
+        low = left.groupBy("key").agg(F.min("cid").alias("low"))
+        edges = left.join(low, "key").where("cid <> low").select("low", "cid").distinct()
+        clusters = component_edges(edges, "low", "cid")
+        clusters = self.scratch.table(clusters.union(clusters.select(F.col("comp").alias("id"), "comp").distinct()))
+        member = clusters.join(sizes.withColumnRenamed("cid", "id"), "id")
+        need = F.ceil(F.greatest(F.count("*") / self.members, F.sum("n") / SHINGLES)).cast("int")
+        own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+        dealt = member.join(member.groupBy("comp").agg(need.alias("blocks")), "comp").select("id", "comp", "blocks", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("own <> other OR blocks = 1")
+        work = dealt.select("comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("id").alias("cid")).join(sets, "cid")
+
+        def compare(batches):
+            """Runs of rows of one task: members of one or two blocks."""
+            rows: list[tuple] = []
+            now, out = None, []
+
+            def settle():
+                rows.sort(key=lambda r: r[0])
+                return spanning([r[0] for r in rows], confirmed([r[1] for r in rows], percent))
+
+            def told():
+                return pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["src", "dst"])
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                (data, first), ids = set_column(batch.column("set")), batch.column("cid").to_pylist()
+                for k, task in enumerate(zip(*(batch.column(c).to_pylist() for c in ("comp", "x", "y")), strict=True)):
+                    if task != now:
+                        if rows:
+                            out += settle()
+                        now, rows[:] = task, []
+                    rows.append((ids[k], data[first[k] : first[k + 1]].copy()))
+                if len(out) > 50_000:
+                    yield told()
+                    out = []
+            if rows:
+                out += settle()
+            yield told()
+            give_back()
+
+        found = work.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").select("comp", "x", "y", "cid", "set")
+        return self.scratch.table(found.mapInArrow(compare, "src long, dst long"))
+
+
+def labelled(docs: DataFrame, size: int = 5, percent: int = 80, members: int = MEMBERS, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, part, n_shingles, component_id, component_part) of every row: ``part`` is the hash of its
+    text, the component's pair is that of its first row by (doc_id, part)."""
+    finder = _Finder(docs, size, percent, members)
+    scratch, rows = finder.scratch, finder.sketched()
+    linkable = rows.where("n > 0 AND doc_id IS NOT NULL")
+    least = linkable.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "part")).alias("first"), F.min("sketch").alias("sketch"))
+    classes = scratch.table(least.select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", "n", F.col("first.doc_id").alias("first_id"), F.col("first.part").alias("first_part"), "sketch"))
+    stars, sizes = finder.bucketed(classes), classes.select("cid", "n")
+    wanted = stars.select("cid").union(stars.select("rep")).distinct().join(classes.select("cid", "first_id", "first_part"), "cid")
+    sets, links = finder.sets(wanted, rows), None
+    left = None if rounds else stars.select("key", "cid").union(stars.select("key", "rep").distinct())
+    for k in range(rounds):
+        if k:
+            stars = scratch.table(left.join(left.groupBy("key").agg(F.min("cid").alias("rep")), "key").where("cid <> rep").select("key", "rep", "cid"))
+        pairs = scratch.table(stars.select("rep", "cid").distinct())
+        sized = pairs.join(sizes, "cid").join(sizes.select(F.col("cid").alias("rep"), F.col("n").alias("rep_n")), "rep")
+        found = finder.confirm_stars(sized.where(f"100 * least(n, rep_n) >= {percent} * greatest(n, rep_n)").select("rep", "cid"), sets)
+        links = found if links is None else links.unionByName(found)
+        groups = scratch.table(component_edges(links))
+        of = lambda name: groups.select(F.col("id").alias(name), F.col("comp").alias(f"{name}_grp"))
+        apart = pairs.join(of("cid"), "cid", "left").join(of("rep"), "rep", "left").where("coalesce(cid_grp, cid) <> coalesce(rep_grp, rep)").select("rep", "cid")
+        # without its first class, a bucket is only open if some class is in another group than that and than others
+        open_keys = stars.join(apart, ["rep", "cid"], "left_semi").select("key").distinct()
+        rest = stars.join(open_keys, "key").join(of("cid"), "cid", "left").select("key", "cid", F.coalesce("cid_grp", "cid").alias("grp"))
+        rest = scratch.table(rest)
+        mixed = rest.groupBy("key").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("key")
+        left = scratch.table(rest.join(mixed, "key").select("key", "cid"))
+        scratch.drop(stars, pairs, groups, rest)
+        if left.isEmpty():
+            break
+    if not left.isEmpty():
+        found = finder.confirm_blocks(left, sizes, sets)
+        links = found if links is None else links.unionByName(found)
+    scratch.drop(sets)
+    if links is not None:
+        comps = scratch.table(component_edges(links))
+        comps = comps.union(comps.select(F.col("comp").alias("id"), "comp").distinct())
+        firsts = classes.join(comps, F.col("cid") == F.col("id")).groupBy("comp").agg(F.min(F.struct("first_id", "first_part")).alias("lead"))
+        named = classes.join(comps.join(firsts, "comp").select("id", "lead"), F.col("cid") == F.col("id"), "left")
+        named = scratch.table(named.select("s1", "s2", "n", F.coalesce("lead.first_id", "first_id").alias("component_id"), F.coalesce("lead.first_part", "first_part").alias("component_part")))
+    else:
+        named = classes.select("s1", "s2", "n", F.col("first_id").alias("component_id"), F.col("first_part").alias("component_part"))
+    together = linkable.join(named, ["s1", "s2", "n"]).select("doc_id", "part", F.col("n").alias("n_shingles"), "component_id", "component_part")
+    alone = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "part", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("part").alias("component_part"))
+    return together.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, members: int = MEMBERS, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document."""
+    out = labelled(docs, size, percent, members, rounds).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def first_of_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, columns unchanged, without all rows of a group of near-duplicates but its first.
+
+    Rows are told apart by doc_id and text, so rows that share a doc_id only go if their own text is
+    a near copy; of rows that agree in both one stays. Rows with a null doc_id and empty texts stay.
+    """
+    id_name, part_name = free_name(docs, "id"), free_name(docs, "part")
+    found = labelled(docs, size, percent).where("doc_id IS NOT NULL AND n_shingles > 0")
+    gone = found.where("doc_id <> component_id OR part <> component_part").select(F.col("doc_id").alias(id_name), F.col("part").alias(part_name)).distinct()
+    repeated = found.where("doc_id = component_id AND part = component_part").groupBy("doc_id", "part").count().where("count > 1").select(F.col("doc_id").alias(id_name), F.col("part").alias(part_name))
+    keyed = docs.withColumns({id_name: F.col("doc_id").cast("long"), part_name: F.xxhash64("text")})
+    kept = keyed.join(gone.hint("shuffle_hash"), [id_name, part_name], "left_anti")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, [id_name, part_name], "left_semi").dropDuplicates([id_name, part_name])
+        kept = kept.join(repeated, [id_name, part_name], "left_anti").unionByName(again)
+    return kept.select(*docs.columns)

@@ -1,12 +1,13 @@
 """Vectorised words, hashes and batches over Arrow text columns.
 
-A batch is cut into chunks of about a MB, so memory is bounded by the chunk size and the
+A batch is cut into chunks of about a quarter of a MB, so memory is bounded by the chunk size and the
 longest single text. Words are maximal runs of non-separator bytes; hashes are polynomials
 modulo 2**64 taken from prefix sums, so every word or shingle costs a few array operations.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,26 +36,38 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Positions that a table of powers covers; longer arrays are hashed slice by slice.
+SLICE = 1 << 16
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, U(base)), np.full(size, U(pow(base, -1, 1 << 64)))
+def powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i below ``SLICE``: the same two small arrays whatever the texts."""
+    if base not in _powers:
+        up, down = np.full(SLICE, U(base)), np.full(SLICE, U(pow(base, -1, 1 << 64)))
         up[0] = down[0] = 1
-        have = _powers[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return have
+        _powers[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+    return _powers[base]
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Unmixed polynomial hash of values[start:end] for each span."""
-    up, down = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts]
+    up, down = powers(base)
+    total, n = np.zeros(len(values) + 1, U), len(values)
+    if n < SLICE:
+        np.cumsum(values * up[:n], out=total[1:])
+        return (total[ends] - total[starts]) * down[starts]
+    step = pow(base, SLICE, 1 << 64)
+    for k, at in enumerate(range(0, n, SLICE)):
+        part = total[at + 1 : at + 1 + SLICE]
+        np.multiply(values[at : at + SLICE], up[: len(part)], out=part)
+        part *= U(pow(step, k, 1 << 64))
+        np.cumsum(part, out=part)
+        part += total[at]
+    back, whole = pow(pow(base, -1, 1 << 64), SLICE, 1 << 64), np.empty(n // SLICE + 1, U)
+    whole[0], whole[1:] = 1, U(back)
+    np.multiply.accumulate(whole, out=whole)
+    return (total[ends] - total[starts]) * (down[starts % SLICE] * whole[starts // SLICE])
 
 
 class Words:
@@ -127,20 +140,38 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunked(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches of about ``limit`` bytes of text each, with bytes and offsets."""
+#: Bytes of text, about, that are worked on at a time; arrays over them stay within the CPU's caches.
+CHUNK = 1 << 18
+#: Texts of a chunk, at most.
+ROWS = 4096
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library keeps what it likes
+    _trim = None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next task then holds next to none."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def chunked(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches of about ``limit`` bytes of text and at most ``ROWS`` rows each, with bytes and offsets."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offsets = text_bytes(batch.column(text))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1), at + ROWS)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    give_back()
 
 
-def per_chunk(f: Callable, text: str = "text", limit: int = 1 << 20) -> Callable:
+def per_chunk(f: Callable, text: str = "text", limit: int = CHUNK) -> Callable:
     """For mapInArrow: f(batch, data, offsets) gives a RecordBatch for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +195,3 @@ def minima(values: np.ndarray, first: np.ndarray, empty) -> np.ndarray:
     if len(full):
         out[full] = np.minimum.reduceat(values, first[full])
     return out
-
-
-def distinct_within(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (owner, value) pairs, sorted by owner and value; owners must be ascending."""
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
-    keep = np.ones(len(owner), bool)
-    keep[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
-    return owner[keep], values[keep]
