@@ -1,24 +1,27 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found by hashes: a line that at most ``rare`` documents hold, a shortest
-run of successive lines (often one line) with ``block_chars`` bytes, or the whole sequence of lines.
-Each document is paired with the earliest holder (smallest doc_id) of each such key. Lines that stay
-uncovered although an earlier document holds a run with them are tried with the other holders, until
-they are covered or the holders exhausted; so are documents whose lines all have earlier holders. The
-result is that of aligning every document with all earlier ones. A pair is aligned by patience diff
+Documents that overlap are found by hashes of their lines and of shortest runs of successive lines
+(often one line) with ``block_chars`` bytes. Documents that share a line or run held by at most
+``rare`` different texts are all paired with each other, and each pair is aligned by patience diff
 on line hashes: lines that are unique in both and in the same order (longest increasing
 subsequence) anchor the alignment, which then grows over equal neighbours and recurses between
-anchors. Runs of aligned lines with at least ``block_chars`` bytes, or that make up a whole
-document, are deleted from the later document. Decisions are made on the input, not on what other
-deletions leave.
+anchors. Runs of aligned lines with at least ``block_chars`` bytes, or that make up the whole
+later document, are deleted from the later document (the larger doc_id).
 
-``rare`` only chooses which pairs are tried first: a block that is long enough holds a shortest run,
-and these make pairs however many documents hold them.
+The exact way for what more than ``rare`` texts hold, where pairs would grow with the square: a
+shortest run is a block of ``block_chars`` bytes by itself, so the later document's run is aligned
+with that of its first holder, and deleted, by the hash of the run alone. Texts that are equal line by line
+are one text here: the first document has it, later ones lose all lines. With these three no
+aligned block of any two documents is missed. Decisions are made on the input, not on what
+other deletions leave.
 
 Cases: a null text stays null and an empty one empty, neither has lines to delete; texts of one
-line are deleted only as whole copies or by a long line; blank lines neither make pairs nor
-count as bytes; rows that share a doc_id are never paired with each other and share what is deleted
-by position; null doc_ids are left alone; other columns pass through.
+line are deleted only as whole copies or by a long line; blank lines neither make pairs nor count
+as bytes, but belong to the line sequence of whole copies; texts of any length are read whole; rows
+that share a doc_id are never paired with each other, each loses only what its own text shares with
+smaller doc_ids, and equal ones are cut equally; null doc_ids are left alone; other columns pass
+through, but for those named like the two counts, which are replaced; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textkit import BASE, U, chunked, mix, span_hash, sums
+from weftline.llm.common import free_name, modest_batches
+from weftline.llm.textkit import BASE, U, chunked, give_back, mix, span_hash, sums
 from weftline.scratch import Scratch
 
 
@@ -123,113 +127,111 @@ def shortest_runs(h: np.ndarray, size: np.ndarray, block_chars: int) -> tuple[np
     return starts, ends, mix(span_hash(h, starts, ends, 0xA24BAED4963EE407) + (ends - starts).astype(U) * BASE)
 
 
+def aligned_lines(batches, block_chars: int):
+    """(id, part, line) of the lines that a pair's alignment deletes."""
+    for batch in batches:
+        ids, parts, out = [], [], []
+        for k in range(batch.num_rows):
+            early, h, size = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("earlier", U), ("h", U), ("size", "<u4")))
+            gone = deletable(early.tolist(), h.tolist(), size.tolist(), block_chars)
+            if gone:
+                out.append(np.array(gone, np.int32))
+                ids.append(np.full(len(gone), batch.column("id")[k].as_py()))
+                parts.append(np.full(len(gone), batch.column("part")[k].as_py()))
+        if out:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, parts, out)], ["id", "part", "line"])
+    give_back()
+
+
+def run_lines(batches, block_chars: int):
+    """(id, part, line) of the lines under the runs that were asked for."""
+    for batch in batches:
+        ids, parts, out = [], [], []
+        for k in range(batch.num_rows):
+            h, size = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("h", U), ("size", "<u4")))
+            starts, ends, keys = shortest_runs(h, size, block_chars)
+            hit = np.isin(keys.view(np.int64), np.asarray(batch.column("asked")[k].values))
+            cover = np.zeros(len(h) + 1, np.int64)
+            np.add.at(cover, starts[hit], 1)
+            np.subtract.at(cover, ends[hit], 1)
+            gone = np.flatnonzero(np.cumsum(cover[:-1])).astype(np.int32)
+            out.append(gone)
+            ids.append(np.full(len(gone), batch.column("id")[k].as_py()))
+            parts.append(np.full(len(gone), batch.column("part")[k].as_py()))
+        if out:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, parts, out)], ["id", "part", "line"])
+    give_back()
+
+
 def deleted_lines(docs: DataFrame, rare: int = 64, block_chars: int = 50) -> DataFrame:
-    """(id, lines): sorted positions of the lines to delete, for documents that have any."""
+    """(id, part, lines): sorted positions of the lines to delete, for rows that have any; ``part`` is the
+    hash of the row's text, and null ``lines`` stand for all of them."""
+    modest_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "linedup")
 
     def cut(batches):
         for batch, data, offsets in chunked(batches):
             h, size, first = line_hashes(data, offsets)
-            spans = list(zip(first, first[1:], strict=False))
-            yield pa.record_batch([batch.column("id"), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([size[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary())], ["id", "h", "size"])
+            whole = [mix(span_hash(h, first[:-1], first[1:], base) + np.diff(first).astype(U)).view(np.int64) for base in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)]
+            spans, small = list(zip(first, first[1:], strict=False)), size.astype("<u4")
+            yield pa.record_batch([batch.column("id"), batch.column("part"), *map(pa.array, whole), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([small[a:b].tobytes() for a, b in spans], pa.binary())], ["id", "part", "w1", "w2", "h", "size"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text <> ''")
-    lined = scratch.table(source.mapInArrow(cut, "id long, h binary, size binary"))
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("part"), "text").where("id IS NOT NULL AND text <> ''")
+    lined = scratch.table(source.mapInArrow(cut, "id long, part long, w1 long, w2 long, h binary, size binary"))
+    # one row for each different text, that of its first document
+    texts = scratch.table(lined.groupBy("w1", "w2").agg(F.min(F.struct("id", "part", "h", "size")).alias("t")).select("w1", "w2", "t.*"))
+    copies = lined.select("id", "part", "w1", "w2").join(texts.select("w1", "w2", F.col("id").alias("first")), ["w1", "w2"]).where("first < id").select("id", "part").distinct()
 
     def keys(batches):
-        """Distinct keys of each document: kind 0 lines, 2 the whole, 3 shortest runs that reach block_chars."""
+        """Distinct keys of each text: kind 0 lines, 1 shortest runs that reach block_chars."""
         for batch in batches:
-            ids, kinds, out = [], [], []
-            for i, raw, sizes in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), batch.column("size").to_pylist(), strict=True):
-                h, size = np.frombuffer(raw, U), np.frombuffer(sizes, "<u4")
-                solid = h[size > 0]
-                if not len(solid):
-                    continue
-                whole = mix(span_hash(solid, np.array([0]), np.array([len(solid)]), 0xD1342543DE82EF95) + U(len(solid)))
-                for kind, got in ((0, np.unique(solid)), (2, whole), (3, np.unique(shortest_runs(h, size, block_chars)[2]))):
+            ids, parts, kinds, out = [], [], [], []
+            for k in range(batch.num_rows):
+                h, size = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("h", U), ("size", "<u4")))
+                for kind, got in ((0, np.unique(h[size > 0])), (1, np.unique(shortest_runs(h, size, block_chars)[2]))):
                     out.append(got)
-                    ids.append(np.full(len(got), i))
+                    ids.append(np.full(len(got), batch.column("id")[k].as_py()))
+                    parts.append(np.full(len(got), batch.column("part")[k].as_py()))
                     kinds.append(np.full(len(got), kind, np.int8))
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(ids))], ["key", "kind", "id"])
-
-    keyed = lined.mapInArrow(keys, "key long, kind byte, id long")
-    owners = scratch.table(keyed.groupBy("key", "kind").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("n")).where("owner < last").drop("last"))
-    links = scratch.table(keyed.join(owners.hint("shuffle_hash"), ["key", "kind"]))
-    early = scratch.table(lined.groupBy("id").agg(F.min("h").alias("earlier")).withColumnRenamed("id", "owner"))
-
-    def align(batches):
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("id", "earlier", "h", "size")]
-            out = [(i, gone) for i, e, h, size in zip(*cols, strict=True) if (gone := deletable(np.frombuffer(e, U).tolist(), np.frombuffer(h, U).tolist(), np.frombuffer(size, "<u4").tolist(), block_chars))]
-            yield pa.record_batch([pa.array([i for i, _ in out], pa.int64()), pa.array([g for _, g in out], pa.list_(pa.int32()))], ["id", "gone"])
-
-    def aligned(pairs):
-        ready = pairs.join(early, "owner").join(lined, "id").select("id", "earlier", "h", "size")
-        return ready.mapInArrow(align, "id long, gone array<int>")
-
-    def merged(parts):
-        # every position is below the document's number of lines, and so is the list after array_distinct
-        return scratch.table(parts.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("lines")))
-
-    def uncovered(first):
-        """Keys whose lines are not all deleted although an earlier document holds them. A whole document may
-        also go if another has its lines in order: then each line has an earlier holder, and the rarest stands for all."""
-
-        def run(batches):
-            for batch in batches:
-                out = []
-                for i, raw, sizes, gone, asked in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "size", "lines", "asked")), strict=True):
-                    h, size = np.frombuffer(raw, U), np.frombuffer(sizes, "<u4")
-                    left = np.ones(len(h), bool)
-                    left[gone or []] = False
-                    if not left.any():
-                        continue
-                    counts = {(a["kind"], a["key"]): a["n"] for a in asked}
-                    starts, ends, keys = shortest_runs(h, size, block_chars)
-                    before = np.concatenate([[0], np.cumsum(left)])
-                    open_runs = set(keys[before[ends] > before[starts]].view(np.int64).tolist())
-                    out += [(i, k, 3, counts[3, k]) for k in open_runs if (3, k) in counts]
-                    solid = set(h[size > 0].view(np.int64).tolist())
-                    lines = [(n, k) for (kind, k), n in counts.items() if kind == 0]
-                    if lines and (not first or len(lines) == len(solid)):
-                        n, k = min(lines)
-                        out.append((i, k, 0, n))
-                cols = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int8(), pa.int64()), strict=True)], ["id", "key", "kind", "n"])
-
-        return run
-
-    def still(asked, gone, first=False):
-        grouped = asked.groupBy("id").agg(F.collect_set(F.struct("key", "kind", "n")).alias("asked"))
-        rows = grouped.join(lined, "id").join(gone, "id", "left").select("id", "h", "size", "lines", "asked")
-        return scratch.table(rows.mapInArrow(uncovered(first), "id long, key long, kind byte, n long").distinct())
-
-    pairs = scratch.table(links.where(f"owner < id AND (kind > 0 OR n <= {rare})").select("owner", "id").distinct())
-    out = merged(aligned(pairs))
-    asked = still(links.where("owner < id AND kind IN (0, 3)"), out, True)
-    # the rest of the holders, a growing share of each key's at a time; which come first does not change the union
-    low, high = 0, 16
-    share = (F.pmod(F.xxhash64("owner"), F.lit(1 << 40)) / float(1 << 40)) * F.col("n")
-    holders = links.select("key", "kind", F.col("id").alias("owner"))
-    used = [pairs, asked]
-    while not asked.isEmpty():
-        more = asked.join(holders, ["key", "kind"]).where(F.col("owner") < F.col("id")).where((share >= low) & (share < high))
-        pairs = scratch.table(more.select("owner", "id").distinct())
-        before, out = out, merged(aligned(pairs).unionByName(out.withColumnRenamed("lines", "gone")))
-        asked = still(asked.where(f"n > {high}"), out)
-        used += [pairs, asked, before]
-        low, high = high, 16 * high
-    scratch.drop(owners, links, early, lined, *used)
+                yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (kinds, ids, parts))], ["key", "kind", "id", "part"])
+        give_back()
+
+    keyed = texts.mapInArrow(keys, "key long, kind byte, id long, part long")
+    marks = [F.bit_xor(F.xxhash64("id", "part", F.lit(salt))).alias(f"mark{salt}") for salt in (1, 2)]
+    shared = scratch.table(keyed.groupBy("key", "kind").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("n"), *marks).where("owner < last"))
+    # keys that the same texts hold give the same pairs: one of them will do
+    chosen = shared.where(F.col("n") <= rare).groupBy("n", "owner", "last", "mark1", "mark2").agg(F.min(F.struct("key", "kind")).alias("k")).select("k.key", "k.kind", F.lit(None).cast("long").alias("owner"))
+    common = shared.where((F.col("n") > rare) & (F.col("kind") == 1)).select("key", "kind", "owner")
+    held = scratch.table(keyed.join(chosen.unionByName(common).hint("shuffle_hash"), ["key", "kind"]))
+    one, two = (held.where("owner IS NULL").select("key", "kind", F.col("id").alias(f"{x}id"), F.col("part").alias(f"{x}part")) for x in ("e", ""))
+    pairs = scratch.table(one.join(two, ["key", "kind"]).where("eid < id").select("eid", "epart", "id", "part").distinct())
+    early = texts.select(F.col("id").alias("eid"), F.col("part").alias("epart"), F.col("h").alias("earlier"))
+    ready = pairs.join(early, ["eid", "epart"]).select("id", "part", "earlier").join(texts.select("id", "part", "h", "size"), ["id", "part"])
+    result = "id long, part long, line int"
+    by_pairs = ready.select("id", "part", "earlier", "h", "size").mapInArrow(lambda batches: aligned_lines(batches, block_chars), result)
+    # a text has at most two shortest runs for each of its lines, and so has the list
+    asked = held.where("owner < id").groupBy("id", "part").agg(F.collect_set("key").alias("asked"))
+    by_runs = asked.join(texts, ["id", "part"]).select("id", "part", "h", "size", "asked").mapInArrow(lambda batches: run_lines(batches, block_chars), result)
+    # sets of positions: never more than the document has lines
+    lines = by_pairs.unionByName(by_runs).groupBy("id", "part").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    out = scratch.table(lines.unionByName(copies.select("id", "part", F.lit(None).cast("array<int>").alias("lines"))))
+    scratch.drop(lined, texts, shared, held, pairs)
     return out
 
 
-def line_dedup(docs: DataFrame, rare: int = 64, block_chars: int = 50) -> DataFrame:
-    """The documents with their columns, ``text`` without the deleted lines, plus n_lines and n_removed_lines."""
-    gone = deleted_lines(docs, rare, block_chars).select(F.col("id").alias("_line_dedup_id"), F.col("lines").alias("_line_dedup_lines"))
-    both = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["_line_dedup_id"], "left")
-    lines, removed = F.split("text", "\n", -1), F.col("_line_dedup_lines")
-    rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(removed, i)), "\n")
-    text = F.when(removed.isNull() | F.col("text").isNull(), F.col("text")).when(F.size(removed) >= F.size(lines), F.lit("")).otherwise(rest)
-    n_lines = F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.cast("int").alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).alias("n_removed_lines"))
+def line_dedup(docs: DataFrame, rare: int = 64, block_chars: int = 50, counts: tuple[str, str] = ("n_lines", "n_removed_lines")) -> DataFrame:
+    """The documents with their columns, ``text`` without the deleted lines, plus the two ``counts``."""
+    id_name, part_name, gone_name, cut_name = (free_name(docs, x) for x in ("id", "part", "gone", "cut"))
+    gone = deleted_lines(docs, rare, block_chars).select(F.col("id").alias(id_name), F.col("part").alias(part_name), F.col("lines").alias(gone_name), F.lit(True).alias(cut_name))
+    keyed = docs.withColumns({id_name: F.col("doc_id").cast("long"), part_name: F.xxhash64("text")})
+    both = keyed.join(gone.hint("shuffle_hash"), [id_name, part_name], "left")
+    lines, removed, cut = F.split("text", "\n", -1), F.col(gone_name), F.col(cut_name).isNotNull()
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+    # the outer lambda's variable holds the lines, which are then not split anew for each position
+    rest = F.transform(F.array(F.struct(lines.alias("of"), stay.alias("at"))), lambda x: F.array_join(F.transform(x["at"], lambda i: F.get(x["of"], i)), "\n"))[0]
+    text = F.when(~cut | F.col("text").isNull(), F.col("text")).when(removed.isNull() | (F.size(removed) >= F.size(lines)), F.lit("")).otherwise(rest)
+    n_lines = F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("int")
+    n_removed = F.when(~cut, 0).when(removed.isNull(), n_lines).otherwise(F.size(removed))
+    old = {c.lower() for c in counts}
+    return both.select(*[text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in old], n_lines.alias(counts[0]), n_removed.alias(counts[1]))
