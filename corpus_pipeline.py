@@ -10,29 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontam, linedup, minhash, packing, quality
+from weftline.llm.common import free_name
 from weftline.scratch import Scratch
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose Bradley-Terry score is below the learned quantile."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs, quality.fit(docs, labels), tuple(docs.columns))
-    return scored.where("quality_score >= 0.7").select(*docs.columns)
+    name = free_name(docs, "score")
+    scored = quality.score(docs, quality.fit(docs, labels), tuple(docs.columns), name)
+    return scored.where(F.col(name) >= 0.7).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts aligned common blocks from later documents; drops documents of which nothing is left."""
-    out = linedup.line_dedup(docs).where("NOT (n_removed_lines > 0 AND trim(text) = '')")
+    counts = free_name(docs, "lines"), free_name(docs, "removed")
+    cut = F.col(counts[1]) > 0
+    out = linedup.line_dedup(docs, counts=counts).where(~(cut & (F.trim("text") == "")) | F.col("text").isNull())
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, length).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(cut, length).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near-duplicates (five-word shingles, 0.8)."""
-    dropped = minhash.near_duplicates(docs, size=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti").select(*docs.columns)
+    return minhash.first_of_group(docs, size=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
