@@ -82,6 +82,27 @@ def test_plan_places_everything(seed):
 def test_plan_finds_exact_triples():
     assert sum(m for _, m in packing.plan({50: 4, 25: 4, 15: 4, 10: 4}, 100)) == 4
     assert packing.plan({}, 10) == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sums_find_a_filling_whenever_there_is_one(seed):
+    """Against all combinations of one to three of the lengths left, while counts fall."""
+    draw = random.Random(seed)
+    left = np.zeros(41, np.int64)
+    for n in draw.sample(range(1, 40), 9):
+        left[n] = draw.randint(1, 3)
+    sums = packing.Sums(left)
+    for first in sorted(np.flatnonzero(left).tolist(), reverse=True):
+        while left[first]:
+            items = [n for n in np.flatnonzero(left).tolist() for _ in range(int(left[n]) - (n == first))]
+            possible = first == 40 or any(sum(c) == 40 - first for k in (1, 2, 3) for c in itertools.combinations(items, k))
+            fill = sums.fill(40 - first, (first,))
+            assert (fill is not None) == possible
+            assert fill is None or sum(fill) == 40 - first and not Counter((first, *fill)) - Counter(dict(enumerate(left.tolist())))
+            assert sums.take((first, *(fill or ()))) > 0
+
+
+def test_plan_of_one_length():
     assert packing.plan({10: 3}, 10) == [((10,), 3)]
 
 
@@ -89,7 +110,6 @@ def check_packing(rows, got, capacity):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = []
     for doc, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]

@@ -1,19 +1,21 @@
 """Best-fit packing of token pieces into sequences, by exact-complement hashing.
 
 Texts are tokenised once and cut into pieces. What has to be planned is then only how many
-pieces of each length there are, at most ``capacity`` numbers. For a gap that is left open, a scan
-of the lengths still available, instead of hash tables of their pair and triple sums, gives one
-to three of them that fill it exactly; as many copies of it are consumed as the counts allow. Lengths
-for which no combination fills the gap go through best fit. The plan is a short list
-of patterns with multiplicities, of a size bounded by the capacity and not by the rows.
+pieces of each length there are, at most ``capacity`` numbers. Hash tables by sum hold the pairs of
+lengths and the triples (a length and a pair sum). For a gap that is left open they give one to
+three lengths that fill it exactly; as many copies of the combination are consumed as the counts
+allow. Lengths for which no combination fills the gap go through best fit. The plan is a
+short list of patterns with multiplicities; it and the tables (about capacity ** 2 / 4 pairs and
+as many triples of a length and a sum) are bounded by the capacity and not by the rows.
 
 Pieces find their places without a join on rows: a piece's rank among those of its
 length (from counts per partition) selects the pattern, the sequence and the offset.
 
 Cases: null and empty texts are one piece with the end token alone; texts longer than the
-capacity are cut into pieces of exactly the capacity, the first one shorter; strings in ``tokens``
-(of ``added_tokens``) have their own ids, and without it are ordinary text; repeated rows are
-packed each; an empty table gives an empty result.
+capacity are cut into pieces of exactly the capacity, the first one shorter; added tokens of the
+JSON file beside the rank file have their own ids; repeated rows are packed each; equal lengths are
+interchangeable; null doc_ids stay null; other columns, whatever their names, are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import modest_batches
 from weftline.llm.textkit import chunked
 from weftline.scratch import Scratch
 
@@ -75,11 +78,13 @@ def with_added(encode, tokens: dict[str, int]):
     return run
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, tokens: dict[str, int] | None = None) -> DataFrame:
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of every document with the checksum of their ids."""
 
+    tokens = added_tokens(ranks_path)
+
     def run(batches):
-        encode = with_added(encoder(ranks_path, pattern).encode_ordinary, tokens or {})
+        encode = with_added(encoder(ranks_path, pattern).encode_ordinary, tokens)
         for batch, data, offsets in chunked(batches):
             raw, ids = data.tobytes(), batch.column("doc_id").to_pylist()
             out: list[tuple] = []
@@ -97,59 +102,94 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths of one sequence, descending) and how many sequences use each.
+class Sums:
+    """Combinations of the available lengths by their sum: single lengths, pairs, and triples as a length and a pair.
 
-    The longest length that is left opens a sequence; the gap is filled exactly by one, two
-    or three lengths if a scan of those left finds them, preferring combinations of long lengths,
-    which are the hardest to place. Sequences that no combination completes are filled by best
-    fit: the longest length that still fits, until none does.
+    Entries are in order of falling longest length, as long lengths are the hardest to place. Counts
+    only fall, so entries with a length that has run out are passed for good.
     """
-    left = Counter({n: c for n, c in counts.items() if c > 0})
-    out: list[tuple[tuple[int, ...], int]] = []
-    alive = np.zeros(capacity + 1, np.int64)
-    for n, c in left.items():
-        alive[n] = c
 
-    def most(parts: tuple[int, ...]) -> int:
-        return min(int(alive[n]) // c for n, c in Counter(parts).items())
+    def __init__(self, counts: np.ndarray):
+        self.left, cap = counts, len(counts) - 1
+        there = counts > 0
+        self.pairs: dict[int, list[int]] = {}  # sum -> longer lengths, longest last
+        for total in range(2, cap + 1):
+            b = np.arange((total + 1) // 2, total)
+            if len(found := b[there[b] & there[total - b]]):
+                self.pairs[total] = found.tolist()
+        self.triples: dict[int, list[int]] = {}  # sum -> lengths whose rest is a pair sum, longest last
+        paired = np.zeros(cap + 1, bool)
+        paired[list(self.pairs)] = True
+        for total in range(3, cap + 1):
+            a = np.arange(1, total - 1)
+            if len(found := a[there[a] & paired[total - a]]):
+                self.triples[total] = found.tolist()
+
+    def copies(self, parts: tuple[int, ...]) -> int:
+        """How often the combination can be had."""
+        return min(int(self.left[n]) // parts.count(n) for n in parts)
+
+    def pair(self, gap: int, head: tuple[int, ...]) -> tuple[int, ...] | None:
+        """Two lengths that add up to the gap, beside those of ``head``."""
+        row = self.pairs.get(gap, [])
+        while row and not self.copies((row[-1], gap - row[-1])):
+            row.pop()
+        for b in reversed(row):
+            if self.copies((*head, b, gap - b)):
+                return b, gap - b
+        return None
+
+    def fill(self, gap: int, head: tuple[int, ...]) -> tuple[int, ...] | None:
+        """One, two or three lengths that add up to the gap, if any are left beside those of ``head``."""
+        if not gap:
+            return ()
+        if self.copies((*head, gap)):
+            return (gap,)
+        if two := self.pair(gap, head):
+            return two
+        row = self.triples.get(gap, [])
+        while row and not self.left[row[-1]]:
+            row.pop()
+        for a in reversed(row):
+            if self.copies((*head, a)) and (two := self.pair(gap - a, (*head, a))):
+                return a, *two
+        return None
+
+    def take(self, parts: tuple[int, ...]) -> int:
+        """Consumes as many copies as there are."""
+        m = self.copies(parts)
+        for n in parts:
+            self.left[n] -= m
+        return m
 
-    def consume(parts: tuple[int, ...]) -> None:
-        m = most(parts)
-        for n, c in Counter(parts).items():
-            alive[n] -= c * m
-        out.append((tuple(sorted(parts, reverse=True)), m))
 
-    def pair(gap: int, head: tuple[int, ...]) -> tuple[int, ...] | None:
-        """Two lengths that add up to the gap, the longer one as long as it can be."""
-        b = np.arange(gap - 1, (gap - 1) // 2, -1)
-        ok = b[(alive[b] > 0) & (alive[gap - b] > 0)]
-        return next(((int(x), gap - int(x)) for x in ok if most((*head, int(x), gap - int(x))) > 0), None)
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths of one sequence, descending) and how many sequences use each.
 
+    The longest length that is left opens a sequence and the tables of sums fill the gap exactly.
+    Sequences that no combination completes are filled by best fit: the longest length that
+    still fits, until none does.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for n, c in counts.items():
+        left[n] = max(c, 0)
+    sums = Sums(left)
+    out: list[tuple[tuple[int, ...], int]] = []
     for first in range(capacity, 0, -1):
-        while alive[first] > 0:
-            gap = capacity - first
-            fill: tuple[int, ...] | None = () if gap == 0 else None
-            if fill is None and most((first, gap)) > 0:
-                fill = (gap,)
-            if fill is None and gap > 1:
-                fill = pair(gap, (first,))
-            if fill is None and gap > 2:
-                for x in range(gap - 2, (gap + 2) // 3 - 1, -1):
-                    if alive[x] > 0 and most((first, x)) > 0 and (two := pair(gap - x, (first, x))):
-                        fill = (x, *two)
-                        break
-            if fill is None:  # best fit
-                parts = [first]
+        while left[first] > 0:
+            parts = (first,)
+            if (fill := sums.fill(capacity - first, parts)) is not None:
+                parts += fill
+            else:  # best fit
+                gap = capacity - first
                 while gap:
-                    took = Counter(parts)
-                    n = next((n for n in range(gap, 0, -1) if alive[n] > took[n]), 0)
+                    fits = np.flatnonzero(left[: gap + 1])[::-1]
+                    n = next((n for n in fits.tolist() if left[n] > parts.count(n)), 0)
                     if not n:
                         break
-                    parts.append(n)
+                    parts += (n,)
                     gap -= n
-                fill = tuple(parts[1:])
-            consume((first, *fill))
+            out.append((tuple(sorted(parts, reverse=True)), sums.take(parts)))
     return out
 
 
@@ -168,9 +208,10 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, np.int64) for n, rows in table.items()}
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, tokens: dict[str, int] | None = None) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces with the sequence and offset that each is placed at."""
     spark = docs.sparkSession
+    modest_batches(spark)
     scratch = Scratch(spark, "packing")
 
     def ranked(batches):
@@ -186,7 +227,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, e
                 seen[int(v)] += int(c)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank)], [*batch.schema.names, "rank"])
 
-    made = scratch.table(pieces(docs, ranks_path, pattern, capacity, end_id, tokens).withColumn("block", F.spark_partition_id()).mapInArrow(ranked, PIECES + ", block int, rank long"))
+    made = scratch.table(pieces(docs, ranks_path, pattern, capacity, end_id).withColumn("block", F.spark_partition_id()).mapInArrow(ranked, PIECES + ", block int, rank long"))
     per_block = made.groupBy("length", "block").agg(F.count("*").alias("n"))
     # at most capacity lengths; the counts of blocks stay on the executors
     totals = {r.length: r.n for r in per_block.groupBy("length").agg(F.sum("n").alias("n")).collect()}
