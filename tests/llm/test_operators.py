@@ -1,6 +1,7 @@
 """Operators against brute force, and the defined cases: nulls, empty, long, ties, clashes."""
 
 import itertools
+import math
 import random
 import zlib
 from collections import Counter
@@ -315,43 +316,113 @@ def test_quality_ranks_junk_below(spark):
     assert {(r.score, r.predicted) for r in flat} == {(0.7, 1)}
 
 
-def brute_forward(word, pieces, probs, other):
+def segmentations(text, pieces):
+    """Every way to cut a text into pieces; a character of no piece (number ``len(pieces)``) is one by itself."""
+    if not text:
+        yield []
+    for j in range(1, len(text) + 1):
+        p = pieces.get(text[:j], len(pieces) if j == 1 else None)
+        if p is not None:
+            for rest in segmentations(text[j:], pieces):
+                yield [p, *rest]
+
+
+def brute_likelihood(word, pieces, column):
+    return sum(math.prod(column[p] for p in cut) for cut in segmentations(langid.MARK + word, pieces))
+
+
+def slow_log_likelihood(word, pieces, column):
+    """By the recurrence over ends, in logarithms."""
     text = langid.MARK + word
+    log = [0.0] + [-math.inf] * len(text)
+    for j in range(1, len(text) + 1):
+        terms = [log[i] + math.log(column[p]) for i in range(max(0, j - 40), j) if (p := pieces.get(text[i:j], len(pieces) if j == i + 1 else None)) is not None]
+        top = max(terms, default=-math.inf)
+        log[j] = top + math.log(sum(math.exp(t - top) for t in terms)) if terms else top
+    return log[-1]
 
-    def total(i):
-        if i == len(text):
-            return np.ones(probs.shape[1])
-        out = np.zeros(probs.shape[1])
-        for j in range(i + 1, min(len(text), i + langid.LONGEST) + 1):
-            if j == 1:
-                continue
-            p = pieces.get(text[i:j])
-            if p is not None:
-                out += probs[p] * total(j)
-            elif (i == 0 and j == 2) or (i > 0 and j == i + 1):
-                out += other * total(j)
-        return out
-
-    return np.log(total(0))
-
-
-def test_forward_sums_all_segmentations():
-    draw = np.random.default_rng(1)
-    names = [langid.MARK + a for a in ("a", "ab", "abc")] + ["a", "b", "c", "bc", "cab", "abab"]
-    pieces = {p: k for k, p in enumerate(names)}
-    probs, other = draw.random((len(names), 3)) / 20, np.full(3, 1e-4)
-    words = ["a", "abcab", "cabab", "zab", "ababababab", "é"]
-    got = langid.forward_all(words, pieces, probs, other)
+
+PIECES = {p: k for k, p in enumerate([langid.MARK, *(langid.MARK + a for a in ("a", "ab", "abc")), "a", "b", "c", "bc", "cab", "abab"])}
+
+
+def test_likelihood_sums_all_segmentations():
+    table = np.random.default_rng(1).random((len(PIECES) + 1, 3)) / 20
+    words = ["a", "abcab", "cabab", "zab", "ababababab", "é", "zz"]
+    got = langid.log_likelihoods(words, langid.Pieces(PIECES), table)
     for k, w in enumerate(words):
-        assert np.allclose(got[k], brute_forward(w, pieces, probs, other)) and np.allclose(got[k], langid.forward(w, pieces, probs, other))
-    long = "ab" * 400
-    assert np.isfinite(langid.forward_all([long], pieces, probs, other)).all()
+        assert np.allclose(got[k], [math.log(brute_likelihood(w, PIECES, table[:, c])) for c in range(3)])
+    assert len(list(segmentations(langid.MARK + "ab", PIECES))) == 3
+
+
+@pytest.mark.parametrize("letters", ["z", "ab", "abcz", "abab"])
+def test_likelihood_of_words_of_any_length(letters):
+    """Tiny probabilities, 1 to 200 letters and one of 20,000: neither underflow nor two ways that disagree."""
+    table = np.column_stack([np.full(len(PIECES) + 1, 1e-9), np.full(len(PIECES) + 1, 2e-9), np.geomspace(1e-12, 1e-3, len(PIECES) + 1)])
+    words = [(letters * 200)[:n] for n in range(1, 201)] + [(letters * 20_000)[:20_000]]
+    together = langid.log_likelihoods(words, langid.Pieces(PIECES), table)
+    for k in [*range(0, 200, 13), 35, 36, 39, 40, 199, 200]:
+        want = [slow_log_likelihood(words[k], PIECES, table[:, c]) for c in range(3)]
+        assert np.allclose(together[k], want, rtol=1e-9) and np.allclose(langid.log_likelihoods([words[k]], langid.Pieces(PIECES), table), want, rtol=1e-9)
+
+
+def brute_expected(words, pieces, column):
+    out = np.zeros(len(pieces) + 1)
+    for word, n in words:
+        whole = brute_likelihood(word, pieces, column)
+        for cut in segmentations(langid.MARK + word, pieces):
+            for p in cut:
+                out[p] += n * math.prod(column[q] for q in cut) / whole
+    return out
+
+
+def test_expected_counts_equal_brute_force():
+    draw = np.random.default_rng(2)
+    table = draw.random((len(PIECES) + 1, 2))
+    words = [("abcab", 2, 0), ("z", 1, 0), ("ababab", 3, 1), ("cab", 5, 1), ("a", 1, 1)]
+    lattice = langid.Lattice([w for w, _, _ in words], langid.Pieces(PIECES))
+    got = lattice.expected(table, np.array([c for _, _, c in words]), np.array([n for _, n, _ in words], float))
+    for c in range(2):
+        assert np.allclose(got[:, c], brute_expected([(w, n) for w, n, k in words if k == c], PIECES, table[:, c]))
+    long = "z" * 64  # a word of unknown letters at 1e-9 does not vanish
+    got = langid.Lattice([long], langid.Pieces(PIECES)).expected(np.full((len(PIECES) + 1, 1), 1e-9), np.zeros(1, int), np.ones(1))
+    assert abs(got[len(PIECES), 0] - 64) < 1e-6 and abs(got[0, 0] - 1) < 1e-6
 
 
-def test_expected_counts_sum_to_the_word():
-    pieces = {langid.MARK + "a": 0, "b": 1, langid.MARK + "ab": 2, "c": 3}
-    got = langid.expected("abc", pieces, np.array([0.3, 0.2, 0.1, 0.4]), 1e-6)
-    assert abs(got[0] - 0.06 / 0.16) < 1e-9 and abs(got[2] - 0.1 / 0.16) < 1e-9 and abs(got[3] - 1) < 1e-9
+def test_long_words_are_scored_beside_the_cache():
+    table = np.random.default_rng(5).random((len(PIECES) + 1, 2)) / 9
+    model, pieces = {"langs": ["x", "y"], "table": table}, langid.Pieces(PIECES)
+    scores, words = langid.WordScores(model, pieces), ["ab", "abc" * 30, "a", "abc" * 30, "z" * 41, "ab"]
+    for _ in range(2):
+        assert np.allclose(scores.rows(words), langid.log_likelihoods(words, pieces, table))
+    assert set(scores.row) == {"ab", "a"} and len(scores.rows(["c" * 50])) == 1
+
+
+def test_language_equals_brute_force(spark):
+    """The whole query by enumeration of segmentations on a small corpus."""
+    vocab = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = langid.vocabulary(vocab)
+    assert langid.MARK in pieces
+    draw = random.Random(7)
+    rows = [(k, " ".join(draw.choice(["der", "und", "ach", "x"] if k % 2 else ["que", "les", "et", "x"]) for _ in range(4)) + draw.choice(["", " 12", "!"]), "de" if k % 2 else "fr") for k in range(24)]
+    rows += [(100, None, "de"), (101, "", "fr"), (102, "7 !", None), (103, "Und", None), (104, "der", "fr"), (104, "der", "fr")]
+    fold = lambda d: zlib.crc32(str(d).encode()) % 4
+    words_of = lambda t: langid._LETTERS.findall((t or "").lower())
+    columns = {}
+    for lang in ("de", "fr"):
+        counts = Counter(w for d, t, x in rows if x == lang and fold(d) != 2 for w in words_of(t))
+        p = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
+        for _ in range(2):
+            p = brute_expected(counts.items(), pieces, p) + 0.1
+            p /= p.sum()
+        columns[lang] = p
+    got = sorted(langid.language(make(spark, rows, "doc_id long, text string, lang string"), vocab).collect(), key=lambda r: r.doc_id)
+    for r, (d, text, _) in zip(got, sorted(rows, key=lambda r: r[0]), strict=True):
+        found = words_of(text)
+        sums = {x: sum(math.log(brute_likelihood(w, pieces, c)) for w in found) / math.sqrt(max(1, len(found))) for x, c in columns.items()}
+        e = {x: math.exp(v - max(sums.values())) for x, v in sums.items()}
+        assert (r.doc_id, r.held_out, r.lang_pred) == (d, fold(d) == 2, max(sorted(e), key=e.get) if found else "und")
+        assert abs(r.score - (max(e.values()) / sum(e.values()) if found else 0)) < 1e-9
+    assert langid.language(make(spark, [], "doc_id long, text string, lang string"), vocab).collect() == []
 
 
 def test_language(spark):
