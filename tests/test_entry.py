@@ -26,9 +26,10 @@ def test_query(spark, duck, name):
     want = duck.sql(registry.oracle_sql()[name])
     names = sorted(got.columns)
     assert names == sorted(want.columns)
-    a = sorted(tuple(r[c] for c in names) for r in got.collect())
+    nulls_last = lambda row: [(v is None, 0 if v is None else v) for v in row]
+    a = sorted((tuple(r[c] for c in names) for r in got.collect()), key=nulls_last)
     at = [want.columns.index(c) for c in names]
-    b = sorted(tuple(r[k] for k in at) for r in want.fetchall())
+    b = sorted((tuple(r[k] for k in at) for r in want.fetchall()), key=nulls_last)
     assert a == b
 
 
