@@ -262,16 +262,38 @@ def test_contaminated_equals_brute_force(spark):
     assert decontam.contaminated(make(spark, rows), bench.limit(0)).collect() == []
 
 
-def test_multi_index_finds_all_within_radius():
+@pytest.mark.parametrize("n", [200, 3000])  # fewer and more items than there are probes
+def test_multi_index_finds_all_within_radius(n):
     draw = random.Random(2)
-    items = [(k, prose(draw, 25)) for k in range(200)]
-    index = decontam.Index(items, 5, 31)
-    for _ in range(200):
-        code = index.prints[draw.randrange(200)]
+    items = [(k, prose(draw, 25)) for k in range(n)]
+    blocks = decontam.Index(items, 5, 31).blocks[25]
+    for _ in range(60):
+        code = blocks.codes[draw.randrange(n)]
         for bit in draw.sample(range(128), draw.randint(0, 40)):
             code ^= 1 << bit
-        want = [(k, d) for k, p in enumerate(index.prints) if (d := (p ^ code).bit_count()) <= 31]
-        assert index.near(25, code) == want
+        near = {k for k, p in enumerate(blocks.codes) if (p ^ code).bit_count() <= 31}
+        by_blocks = {k for k, p in enumerate(blocks.codes) if any(((p ^ code) >> 16 * b & 0xFFFF).bit_count() <= 3 for b in range(8))}
+        assert near <= set(blocks.candidates(code).tolist()) == by_blocks
+    share = [len(blocks.candidates(draw.getrandbits(128))) / n for _ in range(60)]
+    assert sum(share) / 60 < 0.12
+
+
+def test_fingerprints_find_windows_from_the_threshold_up():
+    """Of windows whose similarity is 0.8 to 0.85 at least 98 % are within the radius."""
+    draw, near, all_of = random.Random(9), 0, 0
+    for k in range(1500):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+        index = decontam.Index([(0, " ".join(words))], 5, 31)
+        other = words[:]
+        other[draw.choice([0, 1, 2, 3, 4, 55, 56, 57, 58, 59])] = "odd"
+        other[draw.randrange(5, 55) if k % 2 else 0] = "even"
+        h = decontam.Words(np.frombuffer(" ".join(other).encode(), np.uint8), np.array([0, len(" ".join(other))]), decontam.NON_WORD).hashes()
+        shingles = decontam.window_hash(h, 5, 0x9FB21C651E98DF25)
+        j = decontam.weighted_jaccard(np.unique(shingles, return_counts=True), index.sets[0])
+        if 0.8 <= j <= 0.85:
+            all_of += 1
+            near += bool(index.near(60, decontam.fingerprint(shingles)))
+    assert all_of > 300 and near >= 0.98 * all_of
 
 
 # classifiers

@@ -2,9 +2,10 @@
 
 Each benchmark item of n words is compared with the windows of n words of every document. A
 window's weighted set holds its five-word shingles with their counts; a 128-bit SimHash is taken
-of it. The bits are cut into ``radius + 1`` blocks: two fingerprints within the radius agree on
-one block at least, so looking up each block of a window's fingerprint finds every item within
-the radius. Candidates are then confirmed by the exact weighted Jaccard similarity.
+of it. The bits are cut into ``BLOCKS`` blocks: two fingerprints within the radius differ in at most
+radius // BLOCKS bits of one block at least, so probing the table of each block with all
+values that near finds every item within the radius, and about 8 % of unrelated ones. Candidates
+are then confirmed by the exact weighted Jaccard similarity.
 
 Fingerprints are only taken of windows that can reach the threshold at all: such a window holds
 at least ``threshold`` of an item's number of shingles from the shingles of items of that length,
@@ -12,27 +13,39 @@ which is counted for all windows by prefix sums and loses none.
 
 Documents are read whole, in one pass and without a shuffle. The benchmark is sent in slices
 of at most ``slice_bytes`` of text, so a larger benchmark means more passes and not a larger
-broadcast.
+broadcast. A worker builds the index of a slice once and keeps it for its next tasks.
 
 Cases: texts are compared by lower-cased ASCII letters and digits, other letters unchanged; items
 of fewer than five words are one shingle; a document shorter than an item is one window; null
-or wordless items and documents match nothing; repeated items each match; null ids are kept in
-the result; other columns are ignored.
+or wordless items and documents match nothing; repeated items and repeated rows each match; of
+equally similar windows the first counts; null ids are kept in the result; an empty table on either side
+gives no matches; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import modest_batches
 from weftline.llm.textkit import LOWER, NON_WORD, U, Words, chunked, mix, window_hash
 
 RESULT = "doc_id long, item_id long, start_word long, n_words int, similarity double, hamming int"
-BITS = 128
+BITS, BLOCKS = 128, 8
+WIDTH = BITS // BLOCKS
+#: Slices' indexes of this worker: the latest one.
+_indexes: dict[str, "Index"] = {}
+
+
+def near_values(distance: int) -> np.ndarray:
+    """What to flip in a block's value to reach all values within a distance."""
+    values = np.arange(1 << WIDTH, dtype=np.uint16)
+    return values[np.bitwise_count(values) <= distance]
 
 
 def fingerprint(shingles: np.ndarray) -> int:
@@ -43,49 +56,85 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int.from_bytes(np.packbits(weights @ (bits.astype(np.int64) * 2 - 1) > 0).tobytes(), "big")
 
 
-def weighted_jaccard(a: Counter, b: Counter) -> float:
-    return sum((a & b).values()) / max(1, sum((a | b).values()))
+def block_values(code: int) -> np.ndarray:
+    """The blocks of a fingerprint."""
+    return np.frombuffer(code.to_bytes(BITS // 8, "big"), ">u2").astype(np.uint16)
+
+
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Of two weighted sets, each as sorted values and their counts."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    common = int(np.minimum(a[1][i], b[1][j]).sum())
+    return common / max(1, int(a[1].sum() + b[1].sum()) - common)
+
+
+class Blocks:
+    """Multi-index of some fingerprints: for each block, the items by the block's value."""
+
+    def __init__(self, codes: list[int], flips: np.ndarray):
+        self.flips, self.codes = flips, codes
+        values = np.array([block_values(c) for c in codes])
+        self.order = [np.argsort(values[:, k], kind="stable") for k in range(BLOCKS)]
+        self.values = [values[order, k] for k, order in enumerate(self.order)]
+
+    def candidates(self, code: int) -> np.ndarray:
+        """Items of which some block is as near as the probes reach."""
+        found = np.zeros(len(self.codes), bool)
+        for value, mine, order in zip(block_values(code), self.values, self.order, strict=True):
+            if len(mine) <= len(self.flips):  # fewer entries than probes: each entry asks whether a probe meets it
+                found[order[np.isin(mine ^ value, self.flips)]] = True
+            else:
+                probes = self.flips ^ value
+                low, high = np.searchsorted(mine, probes, "left"), np.searchsorted(mine, probes, "right")
+                for a, b in zip(low[low < high], high[low < high], strict=True):
+                    found[order[a:b]] = True
+        return np.flatnonzero(found)
 
 
 class Index:
     """Items of one benchmark slice by number of words, with their block tables."""
 
     def __init__(self, items: list[tuple], size: int, radius: int):
-        self.size = size
-        edges = np.linspace(0, BITS, radius + 2).astype(int)
-        self.radius, self.blocks = radius, [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+        self.size, self.radius = size, radius
         self.by_length: dict[int, list[int]] = defaultdict(list)
-        self.tables: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        self.ids, self.sets, self.prints = [], [], []
+        self.ids, self.sets, prints = [], [], []
         for item_id, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             h = Words(LOWER[raw], np.array([0, len(raw)]), NON_WORD).hashes()
             if not len(h):
                 continue
             shingles = window_hash(h, min(size, len(h)), 0x9FB21C651E98DF25)
-            at, code = len(self.ids), fingerprint(shingles)
+            self.by_length[len(h)].append(len(self.ids))
             self.ids.append(item_id)
-            self.sets.append(Counter(shingles.tolist()))
-            self.prints.append(code)
-            self.by_length[len(h)].append(at)
-            for k, (shift, mask) in enumerate(self.blocks):
-                self.tables[len(h), k, code >> shift & mask].append(at)
-        self.lengths = sorted(self.by_length)
-        # of each shingle size: the benchmark's shingles, and which item lengths hold each
-        self.known: dict[int, tuple[np.ndarray, np.ndarray, list[int]]] = {}
-        for s in sorted({min(n, size) for n in self.lengths}):
-            lengths = [n for n in self.lengths if min(n, size) == s]
-            each = [np.unique(self._of(n)) for n in lengths]
-            known = np.unique(np.concatenate(each))
-            self.known[s] = known, np.stack([np.isin(known, e) for e in each], 1), lengths
-
-    def _of(self, n: int) -> np.ndarray:
-        return np.array([s for at in self.by_length[n] for s in self.sets[at]], U)
+            self.sets.append(np.unique(shingles, return_counts=True))
+            prints.append(fingerprint(shingles))
+        flips = near_values(radius // BLOCKS)
+        self.blocks = {n: Blocks([prints[k] for k in at], flips) for n, at in self.by_length.items()}
+        # of each shingle size: the benchmark's shingles, and which item lengths hold each (their numbers, span by span)
+        self.known: dict[int, tuple] = {}
+        for s in sorted({min(n, size) for n in self.by_length}):
+            lengths = np.array(sorted(n for n in self.by_length if min(n, size) == s))
+            each = [np.unique(np.concatenate([self.sets[at][0] for at in self.by_length[int(n)]])) for n in lengths]
+            flat = np.concatenate(each)
+            order = np.argsort(flat, kind="stable")
+            known, start = np.unique(flat[order], return_index=True)
+            table = np.zeros(1 << 20, bool)
+            table[(known >> U(44)).astype(np.int64)] = True
+            self.known[s] = known, np.append(start, len(flat)), np.repeat(np.arange(len(lengths)), [len(e) for e in each])[order].astype(np.int32), lengths, table
 
     def near(self, n: int, code: int) -> list[tuple[int, int]]:
         """(item, distance) of the items of n words within the radius."""
-        found = {at for k, (shift, mask) in enumerate(self.blocks) for at in self.tables.get((n, k, code >> shift & mask), ())}
-        return [(at, d) for at in sorted(found) if (d := (self.prints[at] ^ code).bit_count()) <= self.radius]
+        blocks = self.blocks[n]
+        found = ((int(k), (blocks.codes[k] ^ code).bit_count()) for k in blocks.candidates(code))
+        return [(self.by_length[n][k], d) for k, d in found if d <= self.radius]
+
+
+def index_of(name: str, items: list[tuple], size: int, radius: int) -> Index:
+    """The index of a slice, built once in a worker."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Index(items, size, radius)
+    return _indexes[name]
 
 
 def _known(values: np.ndarray, known: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -101,30 +150,37 @@ def matches(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: floa
     words = Words(LOWER[data], offsets, NON_WORD)
     h, first = words.hashes(), words.first
     best: dict[tuple[int, int], tuple] = {}
-    for size, (known, held, lengths) in index.known.items():
-        table = np.zeros(1 << 20, bool)
-        table[(known >> U(44)).astype(np.int64)] = True
+    for size, (known, spans, holders, lengths, table) in index.known.items():
         hashes = window_hash(h, size, 0x9FB21C651E98DF25)
         hit = _known(hashes, known, table)
         total = np.concatenate([[0], np.cumsum(hit)])
-        needs = {n: max(1, int(np.ceil(threshold * (n - size + 1) - 1e-9))) for n in lengths}
+        needs = np.maximum(1, np.ceil(threshold * (lengths - size + 1) - 1e-9).astype(np.int64))
         stop = np.maximum(first[1:] - size + 1, first[:-1])
         stop, start = np.minimum(stop, len(hashes)), np.minimum(first[:-1], len(hashes))
-        for doc in np.flatnonzero(total[stop] - total[start] >= min(needs.values())):
+        for doc in np.flatnonzero(total[stop] - total[start] >= needs.min()):
             a, b = int(start[doc]), int(stop[doc])
             at = np.flatnonzero(hit[a:b])
-            which = held[np.searchsorted(known, hashes[a:b][at])]
-            for k in np.flatnonzero(which.sum(0) >= [needs[n] for n in lengths]):
-                n = lengths[k]
-                count = np.zeros(b - a + 1, np.int64)
-                count[at + 1] = which[:, k]
-                count = np.cumsum(count)
+            shingle = np.searchsorted(known, hashes[a:b][at])
+            many = spans[shingle + 1] - spans[shingle]  # the lengths that hold each of the document's known shingles
+            which = holders[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(spans[shingle], many)]
+            places = np.repeat(at, many)
+            order = np.argsort(which, kind="stable")
+            which, places = which[order], places[order]
+            counts = np.bincount(which, minlength=len(lengths))
+            ends = np.cumsum(counts)
+            for k in np.flatnonzero(counts >= needs):
+                n = int(lengths[k])
                 wide = min(n - size + 1, b - a)
-                starts = np.flatnonzero(count[wide:] - count[:-wide] >= needs[n])
-                for s in starts:
+                mine = places[ends[k] - counts[k] : ends[k]]
+                # windows with enough of them start from ``wide`` before the last of so many to the first of them
+                starts = np.arange(b - a - wide + 1)
+                held = np.searchsorted(mine, starts + wide, "left") - np.searchsorted(mine, starts, "left")
+                for s in np.flatnonzero(held >= needs[k]):
                     window = hashes[a + s : a + s + wide]
-                    for item, distance in index.near(n, fingerprint(window)):
-                        similarity = weighted_jaccard(Counter(window.tolist()), index.sets[item])
+                    if near := index.near(n, fingerprint(window)):
+                        weighted = np.unique(window, return_counts=True)
+                    for item, distance in near:
+                        similarity = weighted_jaccard(weighted, index.sets[item])
                         key = (int(doc), item)
                         if similarity >= threshold and (key not in best or similarity > best[key][2]):
                             best[key] = (int(s), wide + size - 1, similarity, distance)
@@ -143,11 +199,12 @@ def _slices(benchmark: DataFrame, slice_bytes: int):
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, radius: int = 31, slice_bytes: int = 16 << 20) -> DataFrame:
     """The best window of every document for every benchmark item that it holds."""
     spark, out = docs.sparkSession, None
+    modest_batches(spark)
     for items in _slices(benchmark, slice_bytes):
-        sent = spark.sparkContext.broadcast(items)
+        sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches, sent=sent):
-            index = Index(sent.value, size, radius)
+        def run(batches, sent=sent, name=name):
+            index = index_of(name, sent.value, size, radius)
             for batch, data, offsets in chunked(batches):
                 rows = [(batch.column("doc_id")[doc].as_py(), index.ids[item], *rest) for doc, item, *rest in matches(index, data, offsets, threshold)]
                 if rows:
@@ -162,11 +219,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, radius: int = 31, slice_bytes: int = 16 << 20) -> DataFrame:
     """The documents that hold no benchmark item, columns unchanged, without a shuffle."""
+    modest_batches(docs.sparkSession)
     for items in _slices(benchmark, slice_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches, sent=sent):
-            index = Index(sent.value, size, radius)
+        def run(batches, sent=sent, name=name):
+            index = index_of(name, sent.value, size, radius)
             for batch, data, offsets in chunked(batches):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[m[0] for m in matches(index, data, offsets, threshold)]] = False
