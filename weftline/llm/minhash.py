@@ -7,10 +7,12 @@ the collections while the minhashes computed only grow with their sum. The colle
 sized so that a pair at the threshold misses all tables with a probability of ``miss`` at most.
 
 1. Documents with equal sets (128-bit sums over the set) become one class, with a number.
-2. Classes that share a table key form a bucket; buckets with the same classes are one. In a few
-   rounds each bucket's first class is confirmed against all others of the bucket on full sets
-   (as many rows as classes, however large the bucket) and then leaves it. A bucket is settled
-   as soon as its classes are all in one group of confirmed links.
+2. Classes that share a table key form a bucket; buckets with the same classes are one. A
+   bucket's first class is confirmed against all others of the bucket on full sets (as many rows as
+   classes, however large the bucket) and then leaves it. A bucket is settled as soon as its classes
+   are all in one group of confirmed links. This is done first for a few of the tables, the
+   diagonal of the product, which groups nearly all near copies; of the other tables only the
+   buckets with classes of several groups are looked at at all.
 3. What is left of unsettled buckets is joined to clusters and compared block by block: a task
    holds two blocks at most and gives the links of a spanning forest of what it confirmed, never
    all pairs. So every pair of a bucket is confirmed or refused on full sets, or needless
@@ -44,8 +46,8 @@ HASH_BITS = 52
 MEMBERS = 1024
 SHINGLES = 500_000
 STAR = 512
-#: Rounds of stars before what is left is compared in blocks.
-ROUNDS = 2
+#: Rounds of stars, after those of the diagonal, before what is left is compared in blocks.
+ROUNDS = 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,24 +208,25 @@ class _Finder:
 
         return self.scratch.table(self.texts.mapInArrow(sketch, "doc_id long, part long, n long, s1 long, s2 long, sketch binary"))
 
-    def bucketed(self, classes: DataFrame) -> DataFrame:
-        """(key, rep, cid) of buckets of two classes or more, each set of classes once: ``rep`` is a bucket's
-        first class, ``cid`` each of its others."""
-        tables = self.tables
+    def bucketed(self, classes: DataFrame, diagonal: bool = False) -> DataFrame:
+        """(key, rep, cid) of buckets with classes (cid, grp, sketch) of two groups or more, each set of classes
+        once: ``rep`` is a bucket's first class, ``cid`` each of its others."""
+        tables, wide = self.tables, max(self.tables.a, self.tables.b)
+        some = [i % tables.a * tables.b + i % tables.b for i in range(wide)] if diagonal else slice(None)
 
         def keys(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     rows = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint32).reshape(part.num_rows, -1)
-                    found = tables.keys(rows)
-                    yield pa.record_batch([pa.array(found.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("cid")), found.shape[1]))], ["key", "cid"])
+                    found = tables.keys(rows)[:, some]
+                    yield pa.record_batch([pa.array(found.ravel().view(np.int64)), *(pa.array(np.repeat(np.asarray(part.column(c)), found.shape[1])) for c in ("cid", "grp"))], ["key", "cid", "grp"])
             give_back()
 
-        keyed = classes.select("cid", "sketch").mapInArrow(keys, "key long, cid long")
+        keyed = classes.select("cid", "grp", "sketch").mapInArrow(keys, "key long, cid long, grp long")
         marks = [F.bit_xor(F.xxhash64("cid", F.lit(salt))).alias(f"mark{salt}") for salt in (1, 2)]
-        buckets = keyed.groupBy("key").agg(F.min("cid").alias("rep"), F.max("cid").alias("high"), F.count("*").alias("m"), *marks).where("rep < high")
-        chosen = self.scratch.table(buckets.groupBy("rep", "high", "m", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "rep"))
+        buckets = keyed.groupBy("key").agg(F.min("cid").alias("rep"), F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("m"), *marks).where("low < high")
+        chosen = self.scratch.table(buckets.groupBy("rep", "m", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "rep"))
         out = self.scratch.table(keyed.join(chosen.hint("shuffle_hash"), "key").where("cid <> rep").select("key", "rep", "cid"))
         self.scratch.drop(chosen)
         return out
@@ -319,24 +322,34 @@ def labelled(docs: DataFrame, size: int = 5, percent: int = 80, members: int = M
     linkable = rows.where("n > 0 AND doc_id IS NOT NULL")
     least = linkable.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "part")).alias("first"), F.min("sketch").alias("sketch"))
     classes = scratch.table(least.select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", "n", F.col("first.doc_id").alias("first_id"), F.col("first.part").alias("first_part"), "sketch"))
-    stars, sizes = finder.bucketed(classes), classes.select("cid", "n")
-    wanted = stars.select("cid").union(stars.select("rep")).distinct().join(classes.select("cid", "first_id", "first_part"), "cid")
-    sets, links = finder.sets(wanted, rows), None
-    left = None if rounds else stars.select("key", "cid").union(stars.select("key", "rep").distinct())
-    for k in range(rounds):
-        if k:
+    sizes, names = classes.select("cid", "n"), classes.select("cid", "first_id", "first_part")
+    members = lambda stars: stars.select("cid").union(stars.select("rep")).distinct()
+    grouped = classes.select("cid", F.col("cid").alias("grp"), "sketch")
+    made, sets, links = [], None, None
+    for k in range(rounds + 1):
+        if k < 2:  # the diagonal, then all tables
+            stars = finder.bucketed(grouped, diagonal=k == 0 < rounds)
+            wanted = members(stars).join(names, "cid")
+            made.append(finder.sets(wanted if sets is None else wanted.join(sets.select("cid"), "cid", "left_anti"), rows))
+            sets = made[0] if sets is None else sets.unionByName(made[1])
+        else:
             stars = scratch.table(left.join(left.groupBy("key").agg(F.min("cid").alias("rep")), "key").where("cid <> rep").select("key", "rep", "cid"))
+        if not rounds:
+            left = stars.select("key", "cid").union(stars.select("key", "rep").distinct())
+            break
         pairs = scratch.table(stars.select("rep", "cid").distinct())
         sized = pairs.join(sizes, "cid").join(sizes.select(F.col("cid").alias("rep"), F.col("n").alias("rep_n")), "rep")
         found = finder.confirm_stars(sized.where(f"100 * least(n, rep_n) >= {percent} * greatest(n, rep_n)").select("rep", "cid"), sets)
         links = found if links is None else links.unionByName(found)
         groups = scratch.table(component_edges(links))
         of = lambda name: groups.select(F.col("id").alias(name), F.col("comp").alias(f"{name}_grp"))
+        if k == 0:
+            grouped = scratch.table(classes.join(of("cid"), "cid", "left").select("cid", F.coalesce("cid_grp", "cid").alias("grp"), "sketch"))
+            continue
         apart = pairs.join(of("cid"), "cid", "left").join(of("rep"), "rep", "left").where("coalesce(cid_grp, cid) <> coalesce(rep_grp, rep)").select("rep", "cid")
         # without its first class, a bucket is only open if some class is in another group than that and than others
         open_keys = stars.join(apart, ["rep", "cid"], "left_semi").select("key").distinct()
-        rest = stars.join(open_keys, "key").join(of("cid"), "cid", "left").select("key", "cid", F.coalesce("cid_grp", "cid").alias("grp"))
-        rest = scratch.table(rest)
+        rest = scratch.table(stars.join(open_keys, "key").join(of("cid"), "cid", "left").select("key", "cid", F.coalesce("cid_grp", "cid").alias("grp")))
         mixed = rest.groupBy("key").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("key")
         left = scratch.table(rest.join(mixed, "key").select("key", "cid"))
         scratch.drop(stars, pairs, groups, rest)
@@ -345,7 +358,7 @@ def labelled(docs: DataFrame, size: int = 5, percent: int = 80, members: int = M
     if not left.isEmpty():
         found = finder.confirm_blocks(left, sizes, sets)
         links = found if links is None else links.unionByName(found)
-    scratch.drop(sets)
+    scratch.drop(*made)
     if links is not None:
         comps = scratch.table(component_edges(links))
         comps = comps.union(comps.select(F.col("comp").alias("id"), "comp").distinct())
