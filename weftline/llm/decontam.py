@@ -72,7 +72,8 @@ class Blocks:
     """Multi-index of some fingerprints: for each block, the items by the block's value."""
 
     def __init__(self, codes: list[int], flips: np.ndarray):
-        self.flips, self.codes = flips, codes
+        self.flips, self.codes, self.near = flips, codes, np.zeros(1 << WIDTH, bool)
+        self.near[flips] = True
         values = np.array([block_values(c) for c in codes])
         self.order = [np.argsort(values[:, k], kind="stable") for k in range(BLOCKS)]
         self.values = [values[order, k] for k, order in enumerate(self.order)]
@@ -82,7 +83,7 @@ class Blocks:
         found = np.zeros(len(self.codes), bool)
         for value, mine, order in zip(block_values(code), self.values, self.order, strict=True):
             if len(mine) <= len(self.flips):  # fewer entries than probes: each entry asks whether a probe meets it
-                found[order[np.isin(mine ^ value, self.flips)]] = True
+                found[order[self.near[mine ^ value]]] = True
             else:
                 probes = self.flips ^ value
                 low, high = np.searchsorted(mine, probes, "left"), np.searchsorted(mine, probes, "right")
