@@ -7,15 +7,14 @@ the collections while the minhashes computed only grow with their sum. The colle
 sized so that a pair at the threshold misses all tables with a probability of ``miss`` at most.
 
 1. Documents with equal sets (128-bit sums over the set) become one class, with a number.
-2. Classes that share a table key form a bucket; buckets with the same classes are one. A
-   bucket's first class is confirmed against all others of the bucket on full sets (as many rows as
-   classes, however large the bucket) and then leaves it. A bucket is settled as soon as its classes
-   are all in one group of confirmed links. This is done first for a few of the tables, the
-   diagonal of the product, which groups nearly all near copies; of the other tables only the
-   buckets with classes of several groups are looked at at all.
-3. What is left of unsettled buckets is joined to clusters and compared block by block: a task
-   holds two blocks at most and gives the links of a spanning forest of what it confirmed, never
-   all pairs. So every pair of a bucket is confirmed or refused on full sets, or needless
+2. Classes that share a table key form a bucket, and a bucket's first class is confirmed against all
+   others of the bucket on full sets: as many rows as classes, however large the bucket. This is done
+   first for a few of the tables, the diagonal of the product, which groups nearly all close
+   copies; of the other tables only the buckets with classes of several groups are looked at.
+3. Classes that met the same first class are settled if they are all in one group of confirmed links
+   by now. The others are joined to clusters and compared block by block: a task holds two
+   blocks at most and gives the links of a spanning forest of what it confirmed, never all
+   pairs. So every pair of a bucket is confirmed or refused on full sets, or needless
    because its classes are linked already.
 4. Components of the confirmed links are joined back to all documents.
 
@@ -46,8 +45,6 @@ HASH_BITS = 52
 MEMBERS = 1024
 SHINGLES = 500_000
 STAR = 512
-#: Rounds of stars, after those of the diagonal, before what is left is compared in blocks.
-ROUNDS = 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,8 +206,8 @@ class _Finder:
         return self.scratch.table(self.texts.mapInArrow(sketch, "doc_id long, part long, n long, s1 long, s2 long, sketch binary"))
 
     def bucketed(self, classes: DataFrame, diagonal: bool = False) -> DataFrame:
-        """(key, rep, cid) of buckets with classes (cid, grp, sketch) of two groups or more, each set of classes
-        once: ``rep`` is a bucket's first class, ``cid`` each of its others."""
+        """Distinct (rep, cid) of buckets with classes (cid, grp, sketch) of two groups or more: ``rep`` is a
+        bucket's first class, ``cid`` another."""
         tables, wide = self.tables, max(self.tables.a, self.tables.b)
         some = [i % tables.a * tables.b + i % tables.b for i in range(wide)] if diagonal else slice(None)
 
@@ -224,11 +221,10 @@ class _Finder:
             give_back()
 
         keyed = classes.select("cid", "grp", "sketch").mapInArrow(keys, "key long, cid long, grp long")
-        marks = [F.bit_xor(F.xxhash64("cid", F.lit(salt))).alias(f"mark{salt}") for salt in (1, 2)]
-        buckets = keyed.groupBy("key").agg(F.min("cid").alias("rep"), F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("m"), *marks).where("low < high")
-        chosen = self.scratch.table(buckets.groupBy("rep", "m", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "rep"))
-        out = self.scratch.table(keyed.join(chosen.hint("shuffle_hash"), "key").where("cid <> rep").select("key", "rep", "cid"))
-        self.scratch.drop(chosen)
+        buckets = keyed.groupBy("key").agg(F.min("cid").alias("rep"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("key", "rep")
+        buckets = self.scratch.table(buckets)
+        out = self.scratch.table(keyed.join(buckets.hint("shuffle_hash"), "key").where("cid <> rep").select("rep", "cid").distinct())
+        self.scratch.drop(buckets)
         return out
 
     def sets(self, wanted: DataFrame, rows: DataFrame) -> DataFrame:
@@ -267,12 +263,10 @@ class _Finder:
         dealt = work.repartition("rep", "task").sortWithinPartitions("rep", "task", F.desc("centre"))
         return self.scratch.table(dealt.mapInArrow(compare, "src long, dst long"))
 
-    def confirm_blocks(self, left: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-        """(src, dst) that span the alike pairs of the buckets' classes (key, cid); ``sizes`` (cid, n)."""
+    def confirm_blocks(self, edges: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+        """(src, dst) that span the alike pairs of the clusters that ``edges`` (rep, cid) form; ``sizes`` (cid, n)."""
         percent = self.percent
-        low = left.groupBy("key").agg(F.min("cid").alias("low"))
-        edges = left.join(low, "key").where("cid <> low").select("low", "cid").distinct()
-        clusters = component_edges(edges, "low", "cid")
+        clusters = component_edges(edges, "rep", "cid")
         clusters = self.scratch.table(clusters.union(clusters.select(F.col("comp").alias("id"), "comp").distinct()))
         member = clusters.join(sizes.withColumnRenamed("cid", "id"), "id")
         need = F.ceil(F.greatest(F.count("*") / self.members, F.sum("n") / SHINGLES)).cast("int")
@@ -314,7 +308,7 @@ class _Finder:
         return self.scratch.table(found.mapInArrow(compare, "src long, dst long"))
 
 
-def labelled(docs: DataFrame, size: int = 5, percent: int = 80, members: int = MEMBERS, rounds: int = ROUNDS) -> DataFrame:
+def labelled(docs: DataFrame, size: int = 5, percent: int = 80, members: int = MEMBERS, stars: bool = True) -> DataFrame:
     """(doc_id, part, n_shingles, component_id, component_part) of every row: ``part`` is the hash of its
     text, the component's pair is that of its first row by (doc_id, part)."""
     finder = _Finder(docs, size, percent, members)
@@ -323,40 +317,26 @@ def labelled(docs: DataFrame, size: int = 5, percent: int = 80, members: int = M
     least = linkable.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "part")).alias("first"), F.min("sketch").alias("sketch"))
     classes = scratch.table(least.select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", "n", F.col("first.doc_id").alias("first_id"), F.col("first.part").alias("first_part"), "sketch"))
     sizes, names = classes.select("cid", "n"), classes.select("cid", "first_id", "first_part")
-    members = lambda stars: stars.select("cid").union(stars.select("rep")).distinct()
-    grouped = classes.select("cid", F.col("cid").alias("grp"), "sketch")
-    made, sets, links = [], None, None
-    for k in range(rounds + 1):
-        if k < 2:  # the diagonal, then all tables
-            stars = finder.bucketed(grouped, diagonal=k == 0 < rounds)
-            wanted = members(stars).join(names, "cid")
-            made.append(finder.sets(wanted if sets is None else wanted.join(sets.select("cid"), "cid", "left_anti"), rows))
-            sets = made[0] if sets is None else sets.unionByName(made[1])
-        else:
-            stars = scratch.table(left.join(left.groupBy("key").agg(F.min("cid").alias("rep")), "key").where("cid <> rep").select("key", "rep", "cid"))
-        if not rounds:
-            left = stars.select("key", "cid").union(stars.select("key", "rep").distinct())
+    grouped, made, sets, links = classes.select("cid", F.col("cid").alias("grp"), "sketch"), [], None, None
+    for diagonal in (True, False) if stars else (False,):
+        pairs = finder.bucketed(grouped, diagonal)
+        wanted = pairs.select("cid").union(pairs.select("rep")).distinct().join(names, "cid")
+        made.append(finder.sets(wanted if sets is None else wanted.join(sets.select("cid"), "cid", "left_anti"), rows))
+        sets = made[0] if sets is None else sets.unionByName(made[1])
+        if not stars:
+            open_pairs = pairs
             break
-        pairs = scratch.table(stars.select("rep", "cid").distinct())
         sized = pairs.join(sizes, "cid").join(sizes.select(F.col("cid").alias("rep"), F.col("n").alias("rep_n")), "rep")
         found = finder.confirm_stars(sized.where(f"100 * least(n, rep_n) >= {percent} * greatest(n, rep_n)").select("rep", "cid"), sets)
         links = found if links is None else links.unionByName(found)
-        groups = scratch.table(component_edges(links))
-        of = lambda name: groups.select(F.col("id").alias(name), F.col("comp").alias(f"{name}_grp"))
-        if k == 0:
-            grouped = scratch.table(classes.join(of("cid"), "cid", "left").select("cid", F.coalesce("cid_grp", "cid").alias("grp"), "sketch"))
-            continue
-        apart = pairs.join(of("cid"), "cid", "left").join(of("rep"), "rep", "left").where("coalesce(cid_grp, cid) <> coalesce(rep_grp, rep)").select("rep", "cid")
-        # without its first class, a bucket is only open if some class is in another group than that and than others
-        open_keys = stars.join(apart, ["rep", "cid"], "left_semi").select("key").distinct()
-        rest = scratch.table(stars.join(open_keys, "key").join(of("cid"), "cid", "left").select("key", "cid", F.coalesce("cid_grp", "cid").alias("grp")))
-        mixed = rest.groupBy("key").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("key")
-        left = scratch.table(rest.join(mixed, "key").select("key", "cid"))
-        scratch.drop(stars, pairs, groups, rest)
-        if left.isEmpty():
-            break
-    if not left.isEmpty():
-        found = finder.confirm_blocks(left, sizes, sets)
+        groups = scratch.table(component_edges(links)).select(F.col("id").alias("cid"), "comp")
+        grouped = scratch.table(classes.join(groups, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("grp"), "sketch"))
+        # a first class has met all others of its buckets; those are settled if they are in one group
+        mixed = pairs.join(grouped.select("cid", "grp"), "cid").groupBy("rep").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("rep")
+        open_pairs = pairs.join(mixed, "rep")
+    open_pairs = scratch.table(open_pairs)
+    if not open_pairs.isEmpty():
+        found = finder.confirm_blocks(open_pairs, sizes, sets)
         links = found if links is None else links.unionByName(found)
     scratch.drop(*made)
     if links is not None:
@@ -372,9 +352,9 @@ def labelled(docs: DataFrame, size: int = 5, percent: int = 80, members: int = M
     return together.unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, members: int = MEMBERS, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, members: int = MEMBERS, stars: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
-    out = labelled(docs, size, percent, members, rounds).select("doc_id", "n_shingles", "component_id")
+    out = labelled(docs, size, percent, members, stars).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
