@@ -166,10 +166,8 @@ def test_pack_empty_and_repeated(spark):
 
 
 def brute_nearest(rows, asked, k):
-    good = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 8:
-            good[i] = v
+    good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 8]
+
     def dot(x, y):  # plain double sums in order; sum() compensates
         total = 0.0
         for a, b in zip(x, y, strict=True):
@@ -177,8 +175,9 @@ def brute_nearest(rows, asked, k):
         return total
 
     out = []
-    for q in sorted(i for i in good if asked(i)):
-        s = sorted((-dot(good[q], v), i) for i, v in good.items() if i != q)[:k]
+    for q in sorted({i for i, _ in good if asked(i)}):
+        mine = min(v for i, v in good if i == q)
+        s = sorted((-dot(mine, v), i) for i, v in good if i != q or v != mine)[:k]
         out += [(q, r + 1, i, -d) for r, (d, i) in enumerate(s)]
     return out
 
@@ -191,6 +190,7 @@ def test_nearest_equals_brute_force(spark):
     v[50:150] = v[50]  # a common vector
     rows = [(int(i), [float(x) for x in r]) for i, r in enumerate(v)]
     rows += [(400, None), (401, [0.0] * 8), (402, [1.0] * 3), (403, [None] + [1.0] * 7), (404, [float("nan")] * 8), (405, [float("inf")] * 8), (None, [1.0] * 8), (406, [])]
+    rows += [(40, [float(x) for x in v[7] * 3]), rows[40], (61, rows[3][1]), (61, rows[5][1])]  # ids that repeat
     df = make(spark, rows, "vec_id long, embedding array<float>").repartition(3)
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 5, query_block=8, fit_rows=64).collect())
     assert got == brute_nearest(rows, lambda i: i % 20 == 0, 5)
@@ -207,7 +207,7 @@ def test_error_bound_holds():
     draw = np.random.default_rng(0)
     x, q = draw.standard_normal((3000, 64)), draw.standard_normal((20, 64))
     mean, turn = x.mean(0), ann.rotation(64)
-    c = ann.Codes(x, mean, turn)
+    c = ann.Codes.of(x, mean, turn)
     turned = (q - mean) @ turn
     norm = np.linalg.norm(turned, axis=1)
     upper = c.upper(slice(0, 3000), (turned / norm[:, None]).astype(np.float32), norm.astype(np.float32), ((q - mean) @ mean).astype(np.float32), 3.5)

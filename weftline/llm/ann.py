@@ -1,23 +1,28 @@
 """Nearest neighbours by inner product from randomly rotated one-bit codes.
 
-A vector less the corpus mean is padded with zeros to ``expand`` times its length, rotated by a
-fixed random rotation and stored as its signs, one bit per dimension, with three scalars: its distance to the mean, its inner product with the
-mean, and the inner product of the rotated unit vector with its own code. From these the inner
-product with a query is estimated without bias, and a bound on the estimate's error holds with a
-probability set by ``epsilon``. Only vectors whose upper bound reaches the query's running k-th
-best are compared exactly.
-
-The index fit (mean and start thresholds) uses a bounded sample of vectors; every vector
-is indexed. Queries go in blocks of bounded size against all rows; each task keeps its own k best
-of a query, and those are merged.
+A vector less the corpus mean is padded with zeros to ``expand`` times its length, rotated by a fixed random
+rotation and kept as its signs, one packed bit per dimension, with three scalars: its distance to the
+mean, its inner product with the mean, and the inner product of the rotated unit vector with its
+own code. From these the inner product with a query is estimated without bias, and a bound on the
+estimate's error holds with a probability set by ``epsilon``. Only vectors whose upper bound
+reaches the query's running k-th best are compared exactly.
+
+The index, codes and scalars beside the vectors, is written once in the shared folder; every block
+of queries scans it. Its fit (mean and start thresholds) uses a bounded sample of vectors; every
+vector is indexed. Queries go in blocks of bounded size against all rows; each task keeps its
+own k best of a query, and those are merged.
 
 Cases: vectors that are null, zero, of another length than most, or that hold null or non-finite
-components take no part; fewer than k candidates give all of them; ties go to the smaller id,
-repeated ids keep one row each; empty tables give an empty result. Other columns are ignored.
+components take no part; fewer than k candidates give all of them; ties go to the smaller id. Rows that
+share an id are all candidates, also of the query of that id but for those with its own vector, and the
+query is the least of their vectors. Empty tables give an empty result. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +42,7 @@ RESULT = "query_id long, rank int, vec_id long, score double"
 def rotation(dim: int, expand: int = 4, seed: int = 5) -> np.ndarray:
     """The rows of a random rotation of expand * dim dimensions that unpadded components meet."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((expand * dim, expand * dim)))
-    return (q * np.sign(np.diag(r)))[:dim]
+    return (q * np.sign(np.diag(r)))[:dim]  # expand * dim is a multiple of eight: see nearest
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -69,15 +74,16 @@ def start_limits(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vectors: np.
 class Codes:
     """Packed signs and correction scalars of some vectors."""
 
-    def __init__(self, vectors: np.ndarray, mean: np.ndarray, turn: np.ndarray):
-        dim = turn.shape[1]
+    def __init__(self, bits: np.ndarray, norm: np.ndarray, own: np.ndarray, with_mean: np.ndarray):
+        self.bits, self.norm, self.own, self.with_mean, self.dim = bits, norm, own, with_mean, 8 * bits.shape[1]
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> Codes:
         o = (vectors - mean) @ turn
-        self.norm = np.linalg.norm(o, axis=1)
-        unit = o / np.maximum(self.norm, 1e-30)[:, None]
-        self.bits = np.packbits(unit > 0, axis=1)
-        self.own = np.maximum(np.abs(unit).sum(1) / np.sqrt(dim), 1e-6)  # <code, unit vector>
-        self.with_mean = vectors @ mean
-        self.dim = dim
+        norm = np.linalg.norm(o, axis=1)
+        unit = o / np.maximum(norm, 1e-30)[:, None]
+        own = np.maximum(np.abs(unit).sum(1) / np.sqrt(turn.shape[1]), 1e-6)  # <code, unit vector>
+        return cls(np.packbits(unit > 0, axis=1), norm, own, vectors @ mean)
 
     def signs(self, at: slice) -> np.ndarray:
         return (np.unpackbits(self.bits[at], axis=1, count=self.dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(self.dim))
@@ -99,9 +105,8 @@ def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> n
     return order[rank < k]
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, epsilon: float, rows: int = 2048, queries: int = 512):
+def search_block(ids: np.ndarray, vectors: np.ndarray, codes: Codes, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, epsilon: float, rows: int = 2048, queries: int = 512):
     """k best of these vectors for each query: yields (query positions, vector ids, scores)."""
-    codes = Codes(vectors, mean, turn)
     for a in range(0, len(q), queries):
         qs, qi = q[a : a + queries], q_ids[a : a + queries]
         turned = (qs - mean) @ turn
@@ -113,7 +118,9 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q: np.
         for b in range(0, len(ids), rows):
             at = slice(b, b + rows)
             hit_q, hit_v = np.nonzero(codes.upper(at, unit, norm.astype(np.float32), base, epsilon) >= (limit - 1e-5 * np.abs(limit) - 1e-5)[:, None])
-            other = ids[at][hit_v] != qi[hit_q]
+            own = np.flatnonzero(ids[at][hit_v] == qi[hit_q])
+            other = np.ones(len(hit_q), bool)
+            other[own] = (vectors[at][hit_v[own]] != qs[hit_q[own]]).any(1)
             hit_q, hit_v = hit_q[other], hit_v[other]
             s = dots_at(qs, hit_q, vectors[at], hit_v)
             enough = s >= limit[hit_q]
@@ -136,6 +143,21 @@ def collected(rows: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], v[order]
 
 
+def indexed(rows: DataFrame, mean: np.ndarray, turn: np.ndarray) -> DataFrame:
+    """The rows (vec_id, v) with their codes and scalars. Dimensions are a multiple of eight."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column("v").flatten().cast(pa.float64())).reshape(batch.num_rows, -1)
+                codes = Codes.of(x, mean, turn)
+                bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.bits.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(codes.bits))]).cast(pa.binary())
+                yield pa.record_batch([*batch.columns, bits, *map(pa.array, (codes.norm, codes.own, codes.with_mean))], [*batch.schema.names, "bits", "norm", "own", "with_mean"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("bits", T.BinaryType()), *(T.StructField(c, T.DoubleType()) for c in ("norm", "own", "with_mean"))])
+    return rows.mapInArrow(run, schema)
+
+
 def nearest(vectors: DataFrame, queries, k: int = 20, epsilon: float = 3.5, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS, query_block: int = QUERY_BLOCK, expand: int = 4) -> DataFrame:
     """The k nearest rows of each query row; ``queries`` is a condition on ``id_col``."""
     spark = vectors.sparkSession
@@ -148,15 +170,15 @@ def nearest(vectors: DataFrame, queries, k: int = 20, epsilon: float = 3.5, id_c
         return empty
     dim = sizes[0].d
     rows = rows.where(F.size("v") == dim)
-    if rows.groupBy("vec_id").count().where("count > 1").limit(1).count():
-        rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    fit_ids, fit_v = collected(rows_of(rows, bounded_sample(rows.select("vec_id"), "vec_id", fit_rows), "vec_id"), dim)
-    mean, turn = fit_v.mean(0), rotation(dim, expand)
-    asked = rows.where(queries)
+    sample = rows_of(rows, bounded_sample(rows.select("vec_id").distinct(), "vec_id", fit_rows), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
+    fit_ids, fit_v = collected(sample, dim)
+    mean, turn = fit_v.mean(0), rotation(dim, expand * 8 // math.gcd(expand * dim, 8))
+    asked = rows.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_queries = asked.count()
     if not n_queries:
         return empty
     scratch, found = Scratch(spark, "ann"), None
+    index = scratch.table(indexed(rows, mean, turn))
     blocks = -(-n_queries // query_block)
     for block in range(blocks):
         # hash buckets of about query_block queries: bounded whatever the number of queries
@@ -175,10 +197,12 @@ def nearest(vectors: DataFrame, queries, k: int = 20, epsilon: float = 3.5, id_c
                 ids = np.asarray(batch.column("vec_id"))
                 flat = batch.column("v").flatten()
                 x = np.asarray(flat.cast(pa.float64())).reshape(len(ids), -1)
-                for at, vec, s in search_block(ids, x, q_ids, q, floor, mean, turn, k, epsilon):
+                bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)
+                codes = Codes(bits, *(np.asarray(batch.column(c)) for c in ("norm", "own", "with_mean")))
+                for at, vec, s in search_block(ids, x, codes, q_ids, q, floor, mean, turn, k, epsilon):
                     yield pa.record_batch([pa.array(q_ids[at]), pa.array(vec), pa.array(s)], ["query_id", "vec_id", "score"])
 
-        part = rows.mapInArrow(run, T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]))
+        part = index.mapInArrow(run, T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]))
         part = scratch.table(part)
         found = part if found is None else found.unionByName(part)
 
