@@ -214,3 +214,17 @@ def test_text_edge_lists(spark, tmp_path):
         assert collect(read_edge_list(spark, str(tmp_path / "big.el")), "row", "src") == [(k, k) for k in range(5000)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_short_writes_are_continued(tmp_path, monkeypatch):
+    import os
+
+    from weftline.sinks import binary
+
+    real = os.pwrite
+    monkeypatch.setattr(os, "pwrite", lambda f, data, at: real(f, bytes(data)[:3], at))
+    path = tmp_path / "x"
+    path.write_bytes(b"\0" * 20)
+    with open(path, "r+b") as f:
+        binary.put(f.fileno(), b"0123456789", 5)
+    assert path.read_bytes() == b"\0" * 5 + b"0123456789" + b"\0" * 5

@@ -48,6 +48,8 @@ class Graph:
         if "blockEdges" in options:
             self.block_edges = int(options.pop("blockEdges"))
         self.max_blocks_in_flight = int(options.pop("maxBlocksInFlight", self.max_blocks_in_flight))
+        if self.max_blocks_in_flight < 1:
+            raise ValueError("at least one block must be in flight")
         self.options = {"path": path, "graphType": self.graph_type, **options}
         self._index = None
         self._base = base
@@ -167,7 +169,9 @@ class Graph:
     def subgraph(self, sv: int = 0, se: int = 0, ev: int | None = None, ee: int | None = None) -> DataFrame:
         """The edges of a request, read synchronously; only its blocks are decoded."""
         lo, hi = self.edge_range(sv, se, ev, ee)
-        return self.edges.where((F.col("edge_idx") >= lo) & (F.col("edge_idx") < hi))
+        # the range of vertices follows from that of edges, but can be pushed below the ranking of a graph from rows
+        inside = (F.col("src") >= sv) if ev is None or ev < 0 else F.col("src").between(sv, ev)
+        return self.edges.where(inside & (F.col("edge_idx") >= lo) & (F.col("edge_idx") < hi))
 
     def read_async(self, callback: Callable[[DataFrame, int], None], sv: int = 0, se: int = 0, ev: int | None = None, ee: int | None = None):
         """Delivers the request's blocks to ``callback(batch, batch_id)`` in the background."""

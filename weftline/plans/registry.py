@@ -21,7 +21,7 @@ from weftline.operators.requests import normalise
 from weftline.plans.graph import Graph
 from weftline.scratch import Scratch, shared_dir
 from weftline.sinks import binary, text
-from weftline.sources import sequence
+from weftline.sources import coo, sequence
 from weftline.sources.bvgraph import encode, encode_labels
 
 BLOCK = 1024
@@ -233,6 +233,73 @@ def el_file(spark, d):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+def _file(spark, lines: DataFrame, kind: str) -> DataFrame:
+    """Lines of a text graph file, written and read again."""
+    path = f"{shared_dir(spark)}/weftline/{kind}-{os.urandom(8).hex()}"
+    text.write_lines(lines, path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def adj_file(spark, d):
+    return _file(spark, adj_lines(spark, d), "adj")
+
+
+def degree_distribution_file(spark, d):
+    return _file(spark, degree_distribution_lines(spark, d), "degrees")
+
+
+def wcc_size_file(spark, d):
+    return _file(spark, wcc_size_lines(spark, d), "wcc")
+
+
+def coo_text_scan(spark, d):
+    """Rows 100 to 3000 of a text edge list, by their place in the file."""
+    path = f"{shared_dir(spark)}/weftline/coo-{os.urandom(8).hex()}"
+    text.write_lines(text.el_lines(part_graph(spark, d, weighted=False).edges), path, 1)
+    return coo.read_edge_list(spark, path, start_row=100, end_row=3000)
+
+
+def matrix_market_scan(spark, d):
+    """All entries of a weighted MatrixMarket file, with ids from 0 again."""
+    g, path = part_graph(spark, d), f"{shared_dir(spark)}/weftline/mtx-{os.urandom(8).hex()}"
+    head = spark.createDataFrame([(-2, "%%MatrixMarket matrix coordinate integer general"), (-1, f"{g.num_vertices} {g.num_vertices} {g.num_edges}")], "pos long, line string")
+    entry = F.concat_ws(" ", *[c.cast("string") for c in (F.col("src") + 1, F.col("dst") + 1, F.col("weight"))])
+    text.write_lines(head.unionByName(g.edges.select(F.col("edge_idx").alias("pos"), entry.alias("line"))), path, 1)
+    edges, vertices, entries = coo.read_matrix_market(spark, path)
+    return edges.withColumnRenamed("weight", "w").withColumns({"vertices": F.lit(vertices).cast("long"), "entries": F.lit(entries).cast("long")})
+
+
+def narrow_bin_words(spark, d):
+    """An 8-byte compressed graph as a binary file of 4-byte ids."""
+    g, folder = compressed(spark, d, "wg800"), _folder(spark)
+    binary.write_csx(g.edges, g.offset_rows(), g.num_vertices, g.num_edges, f"{folder}/part.bin")
+    return binary.read_words(spark, f"{folder}/part.bin", [(2, "<u8"), (g.num_vertices + 1, "<u8"), (g.num_edges, "<u4")])
+
+
+def graph_options(spark, d):
+    """What a handle tells of an opened graph, with the options that were set."""
+    g = compressed(spark, d)
+    own, user, parallel = g.uses_own_buffers, g.uses_user_arrays, g.max_blocks_in_flight == spark.sparkContext.defaultParallelism
+    found = os.path.exists(f"{g.path}.graph")
+    g.block_edges, g.max_blocks_in_flight = BLOCK, 5
+    row = (found, g.num_vertices, g.num_edges, own, user, parallel, g.block_edges, g.max_blocks_in_flight, g.total_callbacks(0, g.num_edges))
+    return spark.createDataFrame([row], "path_found boolean, vertices long, edges long, own_buffers boolean, user_arrays boolean, default_is_parallelism boolean, block_edges long, max_buffers long, callbacks long")
+
+
+def async_read_status(spark, d):
+    """State and counters of an asynchronous read when its last callback has returned, and the sum of what callbacks got."""
+    g, got = compressed(spark, d), []
+    g.block_edges, g.max_blocks_in_flight = 8 * BLOCK, 3
+    request = g.read_async(lambda batch, _: got.append(batch.agg(F.count("*"), F.sum("dst"), F.countDistinct("block")).first())).wait()
+    row = (request.status, request.edges_read, request.total_edges, request.total_blocks, sum(r[0] for r in got), sum(r[1] for r in got), sum(r[2] for r in got))
+    return spark.createDataFrame([row], "status long, edges_read long, total_edges long, total_blocks long, written_edges long, written_sum long, blocks_got long")
+
+
+def wcc_size_total(spark, d):
+    """Sum of the components' sizes: the number of vertices."""
+    return wcc_sizes(spark, d).agg(F.sum("size").alias("total"), F.count("*").alias("components"))
+
+
 def _written(spark, d) -> tuple[Graph, DataFrame, DataFrame, str]:
     g, scratch = part_graph(spark, d), Scratch(spark, "sink")
     return g, scratch.table(g.edges), scratch.table(g.offset_rows()), _folder(spark)
@@ -333,7 +400,8 @@ in_degree in_degree_sparse in_degree_distribution in_degree_distribution_sparse
 wcc_labels wcc_sizes wcc_count wcc_largest wcc_labels_full validation_sum el_lines adj_lines degree_distribution_lines
 wcc_size_lines el_file csx_bin_words g3_bin_words weighted_bin_pairs offsets_bin_words narrow_ids scan_checksum
 sequence_file_scan bvgraph_roundtrip bvgraph_roundtrip_800 bvgraph_roundtrip_weighted bvgraph_range_scan bvgraph_offsets
-bvgraph_wcc_sparse stream_in_degree callback_block_udf""".split()
+bvgraph_wcc_sparse stream_in_degree callback_block_udf adj_file degree_distribution_file wcc_size_file coo_text_scan
+matrix_market_scan narrow_bin_words graph_options async_read_status wcc_size_total""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -429,4 +497,16 @@ def oracle_sql() -> dict[str, str]:
         "bvgraph_wcc_sparse": wcc + "SELECT id, comp FROM cc",
         "stream_in_degree": full + "SELECT v, in_degree FROM I",
         "callback_block_udf": full + summary,
+        "adj_file": full + """, N AS (SELECT COUNT(*) AS n FROM part) SELECT 'AdjacencyGraph' AS line UNION ALL SELECT n::VARCHAR FROM N UNION ALL SELECT COUNT(*)::VARCHAR FROM E
+          UNION ALL SELECT "offset"::VARCHAR FROM O, N WHERE v < n UNION ALL SELECT dst::VARCHAR FROM X""",
+        "degree_distribution_file": full + f"SELECT line FROM ({lines})",
+        "wcc_size_file": wcc + f"SELECT comp || '; ' || size || ';' AS line FROM ({sizes})",
+        "coo_text_scan": full + 'SELECT edge_idx AS "row", src, dst FROM X WHERE edge_idx >= 100 AND edge_idx < 3000',
+        "matrix_market_scan": full + 'SELECT edge_idx AS "row", src, dst, w, (SELECT COUNT(*) FROM part) AS vertices, (SELECT COUNT(*) FROM E) AS entries FROM X',
+        "narrow_bin_words": full + "SELECT 0 AS pos, COUNT(*) AS value FROM part UNION ALL SELECT 1, COUNT(*) FROM E UNION ALL " + words.format(head=2),
+        "graph_options": full + f"""SELECT TRUE AS path_found, (SELECT COUNT(*) FROM part) AS vertices, COUNT(*) AS edges, TRUE AS own_buffers, FALSE AS user_arrays, TRUE AS default_is_parallelism,
+          CAST({BLOCK} AS BIGINT) AS block_edges, CAST(5 AS BIGINT) AS max_buffers, CAST((COUNT(*) + {BLOCK - 1}) // {BLOCK} AS BIGINT) AS callbacks FROM E""",
+        "async_read_status": full + f"""SELECT CAST(1 AS BIGINT) AS status, COUNT(*) AS edges_read, COUNT(*) AS total_edges, CAST((COUNT(*) + {8 * BLOCK - 1}) // {8 * BLOCK} AS BIGINT) AS total_blocks,
+          COUNT(*) AS written_edges, CAST(SUM(dst) AS BIGINT) AS written_sum, CAST((COUNT(*) + {8 * BLOCK - 1}) // {8 * BLOCK} AS BIGINT) AS blocks_got FROM E""",
+        "wcc_size_total": wcc + "SELECT COUNT(*) AS total, COUNT(DISTINCT comp) AS components FROM cc",
     }

@@ -24,6 +24,14 @@ def _prepare(path: str, size: int, header: list[int]) -> None:
         f.truncate(size)
 
 
+def put(file: int, data: bytes, position: int) -> None:
+    """Writes all of the data: a single call may write less."""
+    left = memoryview(data)
+    while left:
+        done = os.pwrite(file, left, position)
+        left, position = left[done:], position + done
+
+
 def write_at(rows: DataFrame, path: str, position: str, values: list[str], start: int, dtype: str) -> int:
     """Writes ``values`` of each row from byte start + position * row size on; returns the rows written."""
 
@@ -39,7 +47,7 @@ def write_at(rows: DataFrame, path: str, position: str, values: list[str], start
                 at, data = at[order], data[order]
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]])
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    os.pwrite(f.fileno(), data[a:b].tobytes(), start + int(at[a]) * data.shape[1] * data.itemsize)
+                    put(f.fileno(), data[a:b].tobytes(), start + int(at[a]) * data.shape[1] * data.itemsize)
                 n += len(at)
         yield pa.record_batch([pa.array([n])], ["n"])
 
