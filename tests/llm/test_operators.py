@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -326,6 +327,86 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(make(spark, []), make(spark, [(1, 1)], "doc_id long, toxic int"), bits=10).collect() == []
 
 
+def plain_ftrl(texts, labels, epochs=4, alpha=2.0, beta=1.0, l1=8.0, l2=0.1):
+    """FTRL-proximal over words, pairs and pairs that skip a word, by name and without hashing; weight of a feature."""
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= l1 else -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    for _ in range(epochs):
+        for k, (text, y) in enumerate(zip(texts, labels, strict=True)):
+            if k % 5 == 0:
+                continue
+            found = plain_features(text)
+            w = {f: weight(f) for f in found}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for f in found:
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w[f]
+                n[f] += g * g
+    return weight
+
+
+def plain_features(text):
+    w = re.findall("[a-z0-9\\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in text or ""))
+    return {"bias", *w, *((1, a, b) for a, b in zip(w, w[1:], strict=False)), *((2, a, b) for a, b in zip(w, w[2:], strict=False))}
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    def shuffled(x):  # splitmix64, the order that examples are learned in
+        x = (x + 1) % (1 << 64)
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x ^= x >> shift
+            x = x * times % (1 << 64)
+        return x
+
+    draw = random.Random(71)
+    rows = [(k, " ".join(draw.choice(["vile", "awful", "Hateful"] if k % 3 == 0 and draw.random() < 0.3 else ["calm", "tree", "river", "é", "walk"]) for _ in range(12))) for k in range(300)]
+    labels = [(k, int(k % 3 == 0)) for k in range(300)]
+    order = sorted(range(300), key=shuffled)
+    weight = plain_ftrl([rows[k][1] for k in order], [labels[k][1] for k in order])
+    raw = {k: sum(weight(f) for f in plain_features(t)) for k, t in rows}
+    held = sorted((raw[k], labels[k][1]) for k in order[::5])
+    errors = [sum(y for _, y in held[:m]) + sum(1 - y for _, y in held[m:]) for m in range(len(held) + 1)]
+    least = [m for m, e in enumerate(errors) if e == min(errors)]
+    m, edges = least[len(least) // 2], [held[0][0] - 1, *(r for r, _ in held), held[-1][0] + 1]
+    cut = (edges[m] + edges[m + 1]) / 2
+    model = toxicity.train(make(spark, [(k, t, float(labels[k][1])) for k, t in rows], "doc_id long, text string, label double"))
+    texts = [*rows, (900, None), (901, ""), (902, "vile hateful " * 30_000), (5, rows[5][1])]
+    got = [(r.doc_id, r.score) for r in toxicity.score(make(spark, texts), model).collect()]
+    want = [(k, 1 / (1 + math.exp(-max(-35, min(35, sum(weight(f) for f in plain_features(t)) - cut))))) for k, t in texts]
+    assert len(got) == len(want) and all(a == b and abs(x - y) < 1e-4 for (a, x), (b, y) in zip(sorted(got), sorted(want), strict=True))
+    assert len({round(x, 6) for _, x in want}) > 20
+
+
+def test_quality_learns_bradley_terry_weights(spark):
+    """The pairs' logistic loss by plain loops over the same features, and scores by their quantile."""
+    rows, labels = [], []
+    draw = random.Random(72)
+    for k in range(60):
+        text = prose(draw, draw.randint(8, 40)) + (" ##!! @@ $$ junk" * draw.randint(1, 3) if k % 4 == 0 else ".")
+        rows.append((k, text, int(k % 4 != 0)))
+    model = quality.train(make(spark, rows, "doc_id long, text string, label int"), epochs=5)
+    x = np.array([quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for _, t, _ in rows])
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-3), -8, 8)
+    rng = np.random.default_rng(11)
+    good, bad = [k for k, r in enumerate(rows) if r[2]], [k for k, r in enumerate(rows) if not r[2]]
+    pairs = list(zip(rng.choice(good, 480), rng.choice(bad, 480), strict=True))
+    w, speed = [0.0] * quality.WIDTH, [0.0] * quality.WIDTH
+    for _ in range(5):
+        p = [1 / (1 + math.exp(sum((z[a][i] - z[b][i]) * w[i] for i in range(quality.WIDTH)))) for a, b in pairs]
+        speed = [0.9 * speed[i] + 0.15 * (sum(q * (z[a][i] - z[b][i]) for q, (a, b) in zip(p, pairs, strict=True)) / 480 - 1e-4 * w[i]) for i in range(quality.WIDTH)]
+        w = [v + s for v, s in zip(w, speed, strict=True)]
+    assert np.allclose(model["w"], w, atol=1e-9)
+    texts = [*[r[:2] for r in rows], (3, rows[3][1]), (900, None), (901, ""), (902, "many words here. " * 30_000)]
+    got = sorted((r.doc_id, r.quality_score) for r in quality.score(make(spark, texts), model).collect())
+    raw = {k: float(z[k] @ np.array(w)) for k in range(60)}
+    assert len(got) == 64 and all((s >= 0.7) == (raw[k] >= model["cut"]) for k, s in got if k < 60)
+    assert quality.score(make(spark, []), model).collect() == []
+    named = quality.score(spark.createDataFrame([(1, "a b", 5.0)], "doc_id long, text string, Quality_Score double"), model, ("doc_id", "Quality_Score"))
+    assert named.columns == ["doc_id", "quality_score"] and named.count() == 1
+
+
 def test_quality_ranks_junk_below(spark):
     junk = [lambda d: "word!! " * d.randint(9, 60), lambda d: " ".join(w + d.choice(["###", "$$$"]) for w in prose(d, 40).split()), lambda d: " | ".join(prose(d, 40).split())]
     rows, labels = labelled(6, 400, lambda d: d.choice(junk)(d))

@@ -9,7 +9,8 @@ Texts with too few of every template's bigrams are passed over.
 
 One pass without a shuffle; the templates are a fixed, small list. Cases: null, empty and
 wordless texts match nothing; long texts are compared whole and by parts; repeated rows each
-give their rows; null ids are kept; other columns are ignored; ties go to the larger unit.
+give their rows; null ids are kept; an empty table gives no rows; other columns, whatever their
+names, are ignored; ties go to the larger unit.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ however large the corpus is.
 
 Cases: null or empty texts have only the bias; texts of any length are scored whole, in one
 pass, without a shuffle; repeated labels of a document count repeatedly and labels that are
-null are not learned from; without any label the score is 0.5. Columns other than the id and
-the text are ignored.
+null are not learned from; without any label the score is 0.5. Repeated rows are scored each and, if
+labelled, learned from each; equal scores get equal classes; an empty table gives an empty result.
+Columns other than the id and the text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_sample, fold, rows_of
+from weftline.llm.common import bounded_sample, fold, modest_batches, rows_of
 from weftline.llm.textkit import LOWER, NON_WORD, U, Words, mix, per_chunk, sums
 
 #: Most labelled documents that are learned from.
@@ -131,6 +132,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
 
 def toxicity(docs: DataFrame, labels: DataFrame, bits: int = 20, train_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
     """Score every document; learns from labelled documents outside the held-out fold."""
+    modest_batches(docs.sparkSession)
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).select("doc_id", F.col("toxic").cast("double").alias("label"))
     model = train(rows_of(docs.select("doc_id", "text"), bounded_sample(ids, "doc_id", train_rows)), bits)
     out = score(docs, model, bits)
