@@ -67,3 +67,29 @@ def test_stages(spark, folder):
     check_packing(pairs(clean), packed, 2048)
     whole = corpus_pipeline.run(spark, d).collect()
     assert sorted(r[:5] for r in map(tuple, whole)) == sorted(r[:5] for r in map(tuple, packed))
+
+
+def test_stages_with_odd_rows(spark, folder):
+    """Nulls, empty and very long texts, ties, repeated rows and ids, clashing names and an empty table in every stage."""
+    d, rows, items = folder
+    draw = random.Random(32)
+    long = "\n".join(prose(draw, 12) for _ in range(8_000))
+    one, near, other = rows[1][1], rows[1][1].rsplit(" ", 1)[0] + " changed", prose(draw, 60)
+    odd = [(1, one), (2, one), (2, other), (3, None), (4, ""), (None, one), (None, None), (5, long), (6, long + "\nend"), (7, near), (7, near), (8, "word"), (9, items[0][1]), (10, items[0][1])]
+    clash = dict.fromkeys("quality_score n_removed_lines n_lines _dropped part id lines component_id weftline_id_0 weftline_score_0 weftline_removed_0".split(), 7)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in clash)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or ""), *clash.values()) for k, t in odd], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    for name, stage in stages.items():
+        out, none = stage(spark, docs, d), stage(spark, docs.limit(0), d)
+        assert none.collect() == []
+        if name != "pack":
+            assert out.columns == none.columns == docs.columns and {r.quality_score for r in out.collect()} <= {7}
+    cut = pairs(stages["line_dedup"](spark, docs, d))
+    assert (2, other) in cut and (5, long) in cut and (3, None) in cut and (None, one) in cut and not any(k == 10 for k, _ in cut) and (2, one) not in cut
+    single = pairs(stages["near_dedup"](spark, docs, d))
+    assert single == sorted([(1, one), (2, other), (3, None), (4, ""), (None, one), (None, None), (5, long), (8, "word"), (9, items[0][1])], key=str)
+    clean = pairs(stages["decontaminate"](spark, docs, d))
+    assert clean == sorted(((k, t) for k, t in odd if k not in (9, 10)), key=str)
+    assert len([r for r in stages["pack"](spark, docs, d).collect() if r.piece == 0]) == len(odd)
