@@ -2,6 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's documents. All stages but the last keep the columns.
+
+Cases, in every stage: an empty table gives an empty one; other columns pass through whatever their names
+are; texts are read whole. Null and empty texts are scored by ``quality_filter`` like any text and
+go if the score of no features is too low; they are neither cut nor duplicates nor
+contaminated, and pack as one piece with the end token alone. Rows that share a doc_id are judged
+each by its own text; of rows that agree in both, ``near_dedup`` keeps one. Null doc_ids are
+neither cut nor dropped by the deduplicating stages. Ties at the quality threshold stay, of
+near-duplicates the smallest doc_id stays.
 """
 
 from __future__ import annotations
@@ -60,7 +68,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.table(docs)
-    return docs
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        before, docs = docs, scratch.table(out)
+        if k:  # what a stage has read is not needed once its result is written
+            scratch.drop(before)
