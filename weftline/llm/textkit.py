@@ -67,7 +67,7 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     back, whole = pow(pow(base, -1, 1 << 64), SLICE, 1 << 64), np.empty(n // SLICE + 1, U)
     whole[0], whole[1:] = 1, U(back)
     np.multiply.accumulate(whole, out=whole)
-    return (total[ends] - total[starts]) * (down[starts % SLICE] * whole[starts // SLICE])
+    return (total[ends] - total[starts]) * (down[starts & (SLICE - 1)] * whole[starts >> (SLICE.bit_length() - 1)])
 
 
 class Words:
