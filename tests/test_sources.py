@@ -58,8 +58,8 @@ def test_graph_round_trip(tmp_path_factory, seed, n, window, interval):
     index = bvgraph.index_files(base)
     assert np.fromfile(index["csx"], "<u8").tolist() == np.cumsum([0, *map(len, rows)]).tolist()
     for first in {0, n // 2, n - 1}:
-        reader = bvgraph.Reader(base, index, first, n)
-        assert [reader.successors(v) for v in range(first, n)] == rows[first:]
+        degree, flat = bvgraph.Reader(base, index).successors(first, n)
+        assert degree.tolist() == [len(r) for r in rows[first:]] and flat.tolist() == sum(rows[first:], [])
 
 
 def test_offsets_bootstrap_and_side_folder(tmp_path):
@@ -228,3 +228,46 @@ def test_short_writes_are_continued(tmp_path, monkeypatch):
     with open(path, "r+b") as f:
         binary.put(f.fileno(), b"0123456789", 5)
     assert path.read_bytes() == b"\0" * 5 + b"0123456789" + b"\0" * 5
+
+
+@given(st.lists(st.one_of(st.integers(0, 9), st.integers(0, 1 << 40)), min_size=1, max_size=120), st.integers(1, 6), st.integers(0, 9))
+def test_codes_side_by_side(values, k, shift):
+    from weftline.sources import bitvec
+
+    for kind, write in (("GAMMA", bitio.write_gamma), ("DELTA", bitio.write_delta), ("ZETA", lambda n: bitio.write_zeta(n, k)), ("UNARY", lambda n: bitio.write_unary(n % 300))):
+        want = [v % 300 if kind == "UNARY" else v for v in values]
+        codes = ["0" * shift, *map(write, values)]
+        bits = bitvec.Bits(bitio.bytes_of("".join(codes)))
+        starts = np.cumsum([len(c) for c in codes])
+        got, behind = bits.reader(kind, k)(starts[:-1])
+        assert got.tolist() == want and behind.tolist() == starts[1:].tolist()
+        counts = np.array([len(values) - i for i in range(len(values))])
+        for few in (1, 32):
+            got, behind = bitvec.runs(bits.reader(kind, k), starts[:-1], counts, few)
+            assert got.tolist() == [v for i in range(len(want)) for v in want[i:]] and set(behind.tolist()) == {int(starts[-1])}
+
+
+def test_codes_of_a_file_in_pieces(tmp_path):
+    from weftline.sources import bitvec
+
+    draw = random.Random(3)
+    values = [draw.choice([0, 5, draw.randrange(1 << 33)]) for _ in range(700)]
+    (tmp_path / "x").write_bytes(bitio.bytes_of("".join(map(bitio.write_gamma, values))))
+    for size in (1, 13, 1 << 16):
+        assert np.concatenate(list(bitvec.values_of_file(str(tmp_path / "x"), 700, "GAMMA", size=size))).tolist() == values
+    with pytest.raises(ValueError, match="early"):
+        list(bitvec.values_of_file(str(tmp_path / "x"), 800, "GAMMA"))
+
+
+def test_index_is_the_same_with_and_without_offsets(tmp_path, monkeypatch):
+    rows = adjacency(random.Random(5), 500)
+    rows[7] = list(range(0, 500, 3))
+    bvgraph.encode(str(tmp_path / "g"), 500, rows)
+    codes = bvgraph.Codes(bvgraph.read_properties(str(tmp_path / "g")))
+    fast = list(bvgraph._indexed_pass(str(tmp_path / "g"), codes))
+    slow = list(bvgraph._scalar_pass(str(tmp_path / "g"), codes, size=64, rows=50))
+    for i in (0, 1):
+        assert np.concatenate([p[i] for p in fast]).tolist() == np.concatenate([p[i] for p in slow]).tolist()
+    monkeypatch.setattr(os, "access", lambda *_: False)
+    with pytest.raises(PermissionError, match="sideDir"):
+        bvgraph.index_files(str(tmp_path / "g"))

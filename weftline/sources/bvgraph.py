@@ -7,12 +7,12 @@ successors to copy, intervals of successive ids, and the remaining ids as gaps.
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from heapq import merge
 
 import numpy as np
 
-from weftline.sources import bitio
+from weftline.sources import bitio, bitvec
 from weftline.sources.properties import read_properties
 
 _READ = {"GAMMA": bitio.read_gamma, "DELTA": bitio.read_delta, "UNARY": bitio.read_unary}
@@ -25,13 +25,14 @@ class Codes:
         self.vertices, self.edges = int(properties["nodes"]), int(properties["arcs"])
         self.window = int(properties.get("windowsize", 7))
         self.min_interval = int(properties.get("minintervallength", 4))
-        k = int(properties.get("zetak", 3))
+        self.k = k = int(properties.get("zetak", 3))
         flags = {f.strip().rpartition("_")[0]: f.strip().rpartition("_")[2] for f in properties.get("compressionflags", "").split("|") if "_" in f}
+        usual = {"OUTDEGREES": "GAMMA", "BLOCKS": "GAMMA", "BLOCK_COUNT": "GAMMA", "REFERENCES": "UNARY", "RESIDUALS": "ZETA", "OFFSETS": "GAMMA"}
+        self.kinds = {name: flags.get(name, default) for name, default in usual.items()}
         zeta = lambda s, at: bitio.read_zeta(s, at, k)
-        pick = lambda name, default: zeta if (c := flags.get(name, default)) == "ZETA" else _READ[c]
-        self.outdegree, self.blocks, self.block_count = pick("OUTDEGREES", "GAMMA"), pick("BLOCKS", "GAMMA"), pick("BLOCK_COUNT", "GAMMA")
-        self.references, self.residuals = pick("REFERENCES", "UNARY"), pick("RESIDUALS", "ZETA")
-        self.offsets = pick("OFFSETS", "GAMMA")
+        pick = lambda name: zeta if (c := self.kinds[name]) == "ZETA" else _READ[c]
+        self.outdegree, self.blocks, self.block_count = pick("OUTDEGREES"), pick("BLOCKS"), pick("BLOCK_COUNT")
+        self.references, self.residuals = pick("REFERENCES"), pick("RESIDUALS")
 
 
 def decode_vertex(s: str, at: int, x: int, c: Codes, successors_of) -> tuple[list[int], int]:
@@ -80,130 +81,293 @@ def decode_vertex(s: str, at: int, x: int, c: Codes, successors_of) -> tuple[lis
     return (parts[0] if len(parts) == 1 else list(merge(*parts))), at
 
 
-def build_bit_index(base: str, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """Bit position of each vertex (V + 1) and outdegrees, by one sequential pass over .graph."""
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + length)."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+def _sums(steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Prefix sums inside each of the consecutive runs of ``counts`` numbers."""
+    total, first = np.cumsum(steps), np.cumsum(counts) - counts
+    return total - np.repeat((total[first[counts > 0]] - steps[first[counts > 0]]), counts[counts > 0]) if len(steps) else total
+
+
+def _signed(n: np.ndarray) -> np.ndarray:
+    return (n >> 1) ^ -(n & 1)
+
+
+def decode_vertices(bits: bitvec.Bits, at: np.ndarray, x: np.ndarray, c: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Outdegrees and successors of the ascending vertices x, side by side; their references must be among them."""
+    read = lambda name: bits.reader(c.kinds[name], c.k)
+    degree, at = read("OUTDEGREES")(at)
+    copied, reference = np.zeros_like(degree), np.zeros_like(degree)
+    some = np.flatnonzero(degree)
+    if c.window and len(some):
+        reference[some], at[some] = read("REFERENCES")(at[some])
+    place = np.cumsum(degree) - degree
+    out = np.empty(int(degree.sum()), np.int64)
+
+    # which runs of the referred vertex's successors are copied
+    by = np.flatnonzero(reference)
+    source = np.searchsorted(x, x[by] - reference[by])
+    count, at[by] = read("BLOCK_COUNT")(at[by])
+    length, at[by] = bitvec.runs(read("BLOCKS"), at[by], count)
+    rank = _spread(np.zeros_like(count), count)
+    length += rank > 0
+    begin, owner = _sums(length, count) - length, np.repeat(np.arange(len(by)), count)
+    covered = np.bincount(owner, length, len(by)).astype(np.int64)
+    tail = np.where(count % 2 == 0, degree[source] - covered, 0)
+    even = rank % 2 == 0
+    copied[by] = np.bincount(owner[even], length[even], len(by)).astype(np.int64) + tail
+    run_owner = np.concatenate([owner[even], np.arange(len(by))])
+    run_begin, run_length = np.concatenate([begin[even], covered]), np.concatenate([length[even], tail])
+    order = np.argsort(run_owner, kind="stable")
+    run_owner, run_begin, run_length = run_owner[order], run_begin[order], run_length[order]
+
+    extra = degree - copied
+    spans = np.zeros_like(degree)
+    if c.min_interval:
+        by_span = np.flatnonzero(extra)
+        count, at[by_span] = bits.gamma(at[by_span])
+        pairs, at[by_span] = bitvec.runs(bits.gamma, at[by_span], 2 * count)
+        gap, length = pairs[::2].copy(), pairs[1::2] + c.min_interval
+        first = _spread(np.zeros_like(count), count) == 0
+        owner = np.repeat(by_span, count)
+        before = np.concatenate([[0], length[:-1]]) if len(length) else length
+        left = _sums(np.where(first, _signed(gap) + x[owner], gap + 1 + before), count)
+        spans = np.bincount(owner, length, len(x)).astype(np.int64)
+        out[_spread(place[by_span] + copied[by_span], spans[by_span])] = _spread(left, length)
+        extra = extra - spans
+    by_rest = np.flatnonzero(extra)
+    gap, at[by_rest] = bitvec.runs(read("RESIDUALS"), at[by_rest], extra[by_rest])
+    first = (np.cumsum(extra[by_rest]) - extra[by_rest]).astype(np.int64)
+    head = gap[first]
+    gap += 1
+    gap[first] = _signed(head) + x[by_rest]
+    out[_spread(place[by_rest] + copied[by_rest] + spans[by_rest], extra[by_rest])] = _sums(gap, extra[by_rest])
+    if len(at) and int(at.max()) > bits.size:
+        raise ValueError("the bit stream ends inside a vertex")
+
+    mixed = ((copied > 0).astype(np.int8) + (spans > 0) + (extra > 0)) > 1
+
+    def sort(rows: np.ndarray) -> None:
+        """Ascending successors for vertices whose parts have to be merged."""
+        rows = rows[mixed[rows]]
+        if len(rows):
+            where = _spread(place[rows], degree[rows])
+            high = np.repeat(np.arange(len(rows)) * c.vertices, degree[rows])
+            out[where] = np.sort(out[where] + high) - high
+
+    known = reference == 0
+    sort(np.flatnonzero(known))
+    run_at = np.searchsorted(run_owner, np.arange(len(by) + 1))
+    waiting = np.arange(len(by))
+    while len(waiting):  # one step for each link of the longest chain of references
+        ready = waiting[known[source[waiting]]]
+        r = _spread(run_at[ready], run_at[ready + 1] - run_at[ready])
+        out[_spread(place[by[ready]], copied[by[ready]])] = out[_spread(place[source[run_owner[r]]] + run_begin[r], run_length[r])]
+        waiting = waiting[~known[source[waiting]]]
+        known[by[ready]] = True
+        sort(by[ready])
+    return degree, out
+
+
+def _scalar_pass(base: str, codes: Codes, size: int = 1 << 18, rows: int = 1 << 16):
+    """(bit position, outdegree) arrays of all vertices by one sequential pass; for graphs without .offsets."""
     with open(f"{base}.graph", "rb") as f:
-        s = bitio.bits_of(f.read())
-    at, recent = 0, {}
-    where, degrees = np.zeros(codes.vertices + 1, np.uint64), np.zeros(codes.vertices, np.uint64)
-    for x in range(codes.vertices):
-        where[x] = at
-        recent[x], at = decode_vertex(s, at, x, codes, recent.__getitem__)
-        degrees[x] = len(recent[x])
-        recent.pop(x - codes.window, None)
-    where[-1] = at
-    return where, degrees
-
-
-def read_offsets_file(path: str, count: int, read=bitio.read_gamma) -> np.ndarray:
-    """Cumulated gaps of a .offsets or .labeloffsets file."""
-    with open(path, "rb") as f:
-        s = bitio.bits_of(f.read())
-    at, gaps = 0, np.zeros(count, np.uint64)
-    for i in range(count):
-        gaps[i], at = read(s, at)
-    return np.cumsum(gaps, dtype=np.uint64)
-
-
-def write_offsets_file(path: str, positions: np.ndarray) -> None:
-    gaps = np.diff(positions.astype(np.int64), prepend=0)
+        s, at, gone, ended = "", 0, 0, False
+        recent, where, degrees = {}, [], []
+        for x in range(codes.vertices):
+            while True:
+                try:
+                    if not ended and len(s) - at < 4096:
+                        raise IndexError
+                    got, to = decode_vertex(s, at, x, codes, recent.__getitem__)
+                    if to > len(s):
+                        raise IndexError
+                    break
+                except (LookupError, ValueError):  # the code may go on behind what was read
+                    more = b"" if ended else f.read(size)
+                    if ended:
+                        raise ValueError(f"{base}.graph ends inside vertex {x}") from None
+                    ended = len(more) < size
+                    s, gone, at = s[at:] + bitio.bits_of(more), gone + at, 0
+            where.append(gone + at)
+            degrees.append(len(got))
+            recent[x], at = got, to
+            recent.pop(x - codes.window, None)
+            if len(where) == rows:
+                yield np.array(where), np.array(degrees)
+                where, degrees = [], []
+        yield np.array([*where, gone + at]), np.array(degrees, np.int64)
+
+
+def _indexed_pass(base: str, codes: Codes):
+    """The same from .offsets: outdegrees are the first codes at the known positions."""
+    graph = np.memmap(f"{base}.graph", np.uint8, "r") if os.path.getsize(f"{base}.graph") else np.zeros(1, np.uint8)
+    total, left = 0, codes.vertices
+    for gaps in bitvec.values_of_file(f"{base}.offsets", codes.vertices + 1, codes.kinds["OFFSETS"], codes.k):
+        where = total + np.cumsum(gaps)
+        total, n = int(where[-1]), min(left, len(where))
+        left -= n
+        heads = graph[np.minimum((where[:n] >> 3)[:, None] + np.arange(16), len(graph) - 1)]
+        at = 128 * np.arange(n) + (where[:n] & 7)
+        yield where, bitvec.Bits(heads.tobytes()).reader(codes.kinds["OUTDEGREES"], codes.k)(at)[0]
+
+
+def write_offsets_file(path: str, positions: np.ndarray, rows: int = 1 << 16) -> None:
+    rest, last = "", 0
     with open(path, "wb") as f:
-        f.write(bitio.bytes_of("".join(map(bitio.write_gamma, gaps.tolist()))))
+        for i in range(0, len(positions), rows):
+            part = np.asarray(positions[i : i + rows]).astype(np.int64)
+            rest += "".join(map(bitio.write_gamma, np.diff(part, prepend=last).tolist()))
+            last, cut = int(part[-1]), len(rest) // 8 * 8
+            f.write(bitio.bytes_of(rest[:cut]))
+            rest = rest[cut:]
+        f.write(bitio.bytes_of(rest))
+
+
+def _spots(base: str, side: str | None) -> list[str]:
+    return [base, *([os.path.join(side, os.path.basename(base))] if side else [])]
 
 
 def _writable(base: str, side: str | None) -> str:
-    """Where index files go: beside the graph, or a side folder if that cannot be written."""
-    if side is None and os.access(os.path.dirname(os.path.abspath(base)), os.W_OK):
+    """Where index files go: beside the graph, or a side folder that every machine can open."""
+    if side is None:
+        if not os.access(os.path.dirname(os.path.abspath(base)), os.W_OK):
+            raise PermissionError(f"the folder of {base} cannot be written: name a shared folder for its indexes with the option sideDir")
         return base
-    folder = side or tempfile.mkdtemp(prefix="weftline-index-")
-    os.makedirs(folder, exist_ok=True)
-    return os.path.join(folder, os.path.basename(base))
+    os.makedirs(side, exist_ok=True)
+    return os.path.join(side, os.path.basename(base))
 
 
 def index_files(base: str, side: str | None = None) -> dict[str, str]:
     """Paths of the offset indexes of a graph, building those that do not exist.
 
     ``bits``: u64 bit position of each vertex, V + 1 entries; ``csx``: u64 prefix sums of the
-    outdegrees, V + 1 entries. Both are memory-mapped by the readers.
+    outdegrees, V + 1 entries. Both are memory-mapped by the readers, and made in one pass in
+    bounded memory. A finished index appears under its name at once.
     """
     codes = Codes(read_properties(base))
     size = 8 * (codes.vertices + 1)
     good = lambda p: os.path.exists(p) and os.path.getsize(p) == size
-    spots = [base, *([os.path.join(side, os.path.basename(base))] if side else [])]
-    csx = next((p for b in spots if good(p := f"{b}_offsets.bin")), None)
-    bits = next((p for b in spots if good(p := f"{b}_bitoffsets.bin")), None)
+    csx = next((p for b in _spots(base, side) if good(p := f"{b}_offsets.bin")), None)
+    bits = next((p for b in _spots(base, side) if good(p := f"{b}_bitoffsets.bin")), None)
     if csx and bits:
         return {"csx": csx, "bits": bits}
     out = _writable(base, side)
-    where = read_offsets_file(f"{base}.offsets", codes.vertices + 1, codes.offsets) if os.path.exists(f"{base}.offsets") else None
-    if where is None or csx is None:
-        where, degrees = build_bit_index(base, codes)
-        if not os.path.exists(f"{base}.offsets"):
-            write_offsets_file(f"{out}.offsets", where)
-        total = np.concatenate([[0], np.cumsum(degrees)]).astype(np.uint64)
-        if int(total[-1]) != codes.edges:
-            raise ValueError(f"{base}: the stream has {int(total[-1])} edges, its properties say {codes.edges}")
-        csx = f"{out}_offsets.bin"
-        total.tofile(csx)
-    bits = f"{out}_bitoffsets.bin"
-    where.tofile(bits)
-    return {"csx": csx, "bits": bits}
+    listed = os.path.exists(f"{base}.offsets")
+    quick = listed and codes.kinds["OUTDEGREES"] != "UNARY"
+    made = {name: f"{out}_{name}.bin" for name in ("offsets", "bitoffsets")}
+    new = {name: f"{path}.{uuid.uuid4().hex}" for name, path in made.items()}
+    total = 0
+    with open(new["offsets"], "wb") as f, open(new["bitoffsets"], "wb") as g:
+        f.write(bytes(8))
+        for where, degrees in (_indexed_pass if quick else _scalar_pass)(base, codes):
+            sums = total + np.cumsum(degrees)
+            total = int(sums[-1]) if len(sums) else total
+            sums.astype("<u8").tofile(f)
+            where.astype("<u8").tofile(g)
+    if total != codes.edges:
+        for path in new.values():
+            os.remove(path)
+        raise ValueError(f"{base}: the stream has {total} edges, its properties say {codes.edges}")
+    if not listed:
+        write_offsets_file(f"{out}.offsets", np.memmap(new["bitoffsets"], "<u8", "r"))
+    for name, path in made.items():
+        os.replace(new[name], path)
+    return {"csx": csx or made["offsets"], "bits": bits or made["bitoffsets"]}
+
+
+def label_index(base: str, vertices: int, side: str | None = None) -> str:
+    """Path of the u64 bit positions of each vertex's labels, building it if it does not exist."""
+    size = 8 * (vertices + 1)
+    found = next((p for b in _spots(base, side) if os.path.exists(p := f"{b}_labelbits.bin") and os.path.getsize(p) == size), None)
+    if found:
+        return found
+    path = f"{_writable(base, side)}_labelbits.bin"
+    new, total = f"{path}.{uuid.uuid4().hex}", 0
+    with open(new, "wb") as f:
+        for gaps in bitvec.values_of_file(f"{base}.labeloffsets", vertices + 1, "GAMMA"):
+            where = total + np.cumsum(gaps)
+            total = int(where[-1])
+            where.astype("<u8").tofile(f)
+    os.replace(new, path)
+    return path
+
+
+def _bytes_between(file, where: np.ndarray, first: int, last: int) -> tuple[bytes, int]:
+    """The bytes that hold the codes of vertices [first, last), and the bit position of the first byte."""
+    a, b = int(where[first]) // 8, -(-int(where[last]) // 8)
+    file.seek(a)
+    return file.read(b - a), a * 8
 
 
 class Reader:
-    """Random access to the successors of a vertex range, one contiguous read for the range."""
+    """Random access to the successors of vertex ranges, one contiguous read for a range.
 
-    def __init__(self, base: str, index: dict[str, str], first: int, last: int):
+    A range's memory is a few arrays of its edges; a vertex is always decoded whole.
+    """
+
+    def __init__(self, base: str, index: dict[str, str]):
         self.codes = Codes(read_properties(base))
         self.where = np.memmap(index["bits"], np.uint64, "r")
         self.file = open(f"{base}.graph", "rb")  # noqa: SIM115
-        self.seen: dict[int, list[int]] = {}
-        self.first, self.at = first, int(self.where[first])
-        self.base_bit, self.s = self._slice(first, last)
-
-    def _slice(self, first: int, last: int) -> tuple[int, str]:
-        a, b = int(self.where[first]) // 8, -(-int(self.where[last]) // 8)
-        self.file.seek(a)
-        return a * 8, bitio.bits_of(self.file.read(b - a))
-
-    def successors(self, x: int) -> list[int]:
-        got = self.seen.get(x)
-        if got is None:
-            if x >= self.first:
-                got, _ = decode_vertex(self.s, int(self.where[x]) - self.base_bit, x, self.codes, self.successors)
-            else:  # a reference to before the range
-                start, s = self._slice(x, x + 1)
-                got, _ = decode_vertex(s, int(self.where[x]) - start, x, self.codes, self.successors)
-            self.seen[x] = got
-            if len(self.seen) > 4 * self.codes.window + 64:
-                for old in sorted(self.seen)[: 2 * self.codes.window + 32]:
-                    if old != x:
-                        del self.seen[old]
-        return got
+
+    def _before(self, x: np.ndarray, bits: bitvec.Bits, at: np.ndarray, first: int) -> np.ndarray:
+        """Vertices before ``first`` that the vertices x refer to."""
+        degree, at = bits.reader(self.codes.kinds["OUTDEGREES"], self.codes.k)(at)
+        some = degree > 0
+        reference, _ = bits.reader(self.codes.kinds["REFERENCES"], self.codes.k)(at[some])
+        to = np.unique(x[some] - reference)
+        return to[to < first]
+
+    def _pieces(self, vertices: list[int]) -> tuple[bytes, np.ndarray]:
+        """The codes of single vertices behind each other, and where each starts."""
+        raw, at = b"", []
+        for v in vertices:
+            got, start = _bytes_between(self.file, self.where, v, v + 1)
+            at.append(8 * len(raw) + int(self.where[v]) - start)
+            raw += got
+        return raw, np.array(at, np.int64)
+
+    def successors(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Outdegrees of vertices [first, last) and their successors behind each other."""
+        raw, start = _bytes_between(self.file, self.where, first, last)
+        x, at = np.arange(first, last), self.where[first:last].astype(np.int64) - start
+        early: set[int] = set()
+        if self.codes.window:
+            fresh = self._before(x, bitvec.Bits(raw), at, first)
+            while len(fresh):  # what they refer to in turn
+                early.update(fresh.tolist())
+                piece, piece_at = self._pieces(fresh.tolist())
+                fresh = self._before(fresh, bitvec.Bits(piece), piece_at, first)
+                fresh = fresh[[v not in early for v in fresh.tolist()]]
+        if early:
+            piece, piece_at = self._pieces(sorted(early))
+            raw, x, at = piece + raw, np.concatenate([sorted(early), x]), np.concatenate([piece_at, at + 8 * len(piece)])
+        degree, out = decode_vertices(bitvec.Bits(raw), at, x, self.codes)
+        skip = len(early)
+        return degree[skip:], out[int(degree[:skip].sum()) :]
 
 
 class LabelReader:
     """Integer labels of a vertex range: gamma-coded or of fixed width."""
 
-    def __init__(self, base: str, vertices: int, first: int, last: int):
+    def __init__(self, base: str, index: str):
         spec = read_properties(base).get("labelspec", "GammaCodedIntLabel(w)")
         self.width = int(spec.rpartition(",")[2].strip(" )")) if "FixedWidth" in spec else None
-        self.where = read_offsets_file(f"{base}.labeloffsets", vertices + 1)
-        a, b = int(self.where[first]) // 8, -(-int(self.where[last]) // 8)
-        with open(f"{base}.labels", "rb") as f:
-            f.seek(a)
-            self.s = bitio.bits_of(f.read(b - a))
-        self.base_bit = a * 8
-
-    def labels(self, x: int, degree: int) -> list[int]:
-        at, out = int(self.where[x]) - self.base_bit, []
-        for _ in range(degree):
-            if self.width is None:
-                n, at = bitio.read_gamma(self.s, at)
-            else:
-                n, at = int(self.s[at : at + self.width], 2) if self.width else 0, at + self.width
-            out.append(n & 0xFFFFFFFF)
-        return out
+        self.where = np.memmap(index, np.uint64, "r")
+        self.file = open(f"{base}.labels", "rb")  # noqa: SIM115
+
+    def labels(self, first: int, last: int, degree: np.ndarray) -> np.ndarray:
+        raw, start = _bytes_between(self.file, self.where, first, last)
+        bits, at = bitvec.Bits(raw), self.where[first:last].astype(np.int64) - start
+        if self.width is None:
+            out = bitvec.runs(bits.gamma, at, degree)[0]
+        else:
+            out = bits.fixed(self.width)(np.repeat(at, degree) + self.width * _spread(np.zeros_like(degree), degree))[0]
+        return out & 0xFFFFFFFF
 
 
 def encode_vertex(x: int, successors: list[int], window: dict[int, list[int]], depth: dict[int, int], size: int, max_references: int, min_interval: int, k: int) -> tuple[str, int]:

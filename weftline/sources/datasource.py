@@ -11,6 +11,7 @@ path must be on a file system that all of them mount.
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql.datasource import (
     LessThanOrEqual,
 )
 
-from weftline.sources.bvgraph import LabelReader, Reader, index_files
+from weftline.sources.bvgraph import LabelReader, Reader, index_files, label_index
 from weftline.sources.properties import check_files
 
 DEFAULT_BLOCK = 1 << 20
@@ -49,6 +50,8 @@ class _Blocks:
         self.graph = check_files(self.base, self.type)
         self.index = index_files(self.graph, options.get("sidedir"))
         self.weights = self.type == "wg404" and str(options.get("withweights", "true")).lower() == "true"
+        vertices = os.path.getsize(self.index["csx"]) // 8 - 1
+        self.labels = label_index(self.base, vertices, options.get("sidedir")) if self.weights else None
         self.block = int(options.get("blockedges", DEFAULT_BLOCK))
         if self.block < 1:
             raise ValueError("blockEdges must be at least 1")
@@ -69,36 +72,25 @@ class _Blocks:
     def cut(self, lo: int, hi: int) -> list[EdgeBlock]:
         return [EdgeBlock(a, min(a + self.block, hi)) for a in range(lo, hi, self.block)]
 
-    def decode(self, part: EdgeBlock, rows: int = 1 << 16):
+    def decode(self, part: EdgeBlock, rows: int = 1 << 17):
         """Record batches of the edges of one block."""
         first = int(np.searchsorted(self.offsets, part.lo, "right")) - 1
         last = int(np.searchsorted(self.offsets, part.hi, "left"))
-        reader = Reader(self.graph, self.index, first, last)
-        label = LabelReader(self.base, len(self.offsets) - 1, first, last) if self.weights else None
-        src, dst, weight, start = [], [], [], part.lo
-
-        def batch():
-            nonlocal src, dst, weight, start
-            n = sum(c for _, c in src)
-            cols = [np.repeat([v for v, _ in src], [c for _, c in src]).astype(np.int64), np.arange(start, start + n), np.array(dst, np.int64), *([np.array(weight, np.int64)] if label else [])]
-            start += n
-            src, dst, weight = [], [], []
-            return pa.record_batch([pa.array(c) for c in cols], ["src", "edge_idx", "dst", *(["weight"] if label else [])])
-
-        for v in range(first, last):
-            a, b = int(self.offsets[v]), int(self.offsets[v + 1])
-            if a == b:
-                continue
-            got = reader.successors(v)
-            lo, hi = max(part.lo - a, 0), min(part.hi, b) - a
-            src.append((v, hi - lo))
-            dst += got[lo:hi]
-            if label:
-                weight += label.labels(v, b - a)[lo:hi]
-            if len(dst) >= rows:
-                yield batch()
-        if dst:
-            yield batch()
+        reader = Reader(self.graph, self.index)
+        label = LabelReader(self.base, self.labels) if self.weights else None
+        names = ["src", "edge_idx", "dst", *(["weight"] if label else [])]
+        while first < last:  # about ``rows`` edges at once, one vertex at least
+            most = int(np.searchsorted(self.offsets, self.offsets[first] + np.uint64(rows), "right")) - 1
+            to = min(max(most, first + 1), first + rows, last)
+            degree, dst = reader.successors(first, to)
+            a, b = int(self.offsets[first]), int(self.offsets[to])
+            if len(dst) != b - a:
+                raise ValueError(f"{self.graph}: vertices {first} to {to} have {len(dst)} edges, the index says {b - a}")
+            cols = [np.repeat(np.arange(first, to), degree), np.arange(a, b), dst, *([label.labels(first, to, degree)] if label else [])]
+            lo, hi = max(part.lo, a), min(part.hi, b)
+            for i in range(lo, hi, rows):
+                yield pa.record_batch([pa.array(c[i - a : min(i + rows, hi) - a]) for c in cols], names)
+            first = to
 
 
 class CsxReader(DataSourceReader):
