@@ -51,7 +51,9 @@ def part_graph(spark: SparkSession, sf_dir: str, heavy: bool = False, weighted:
 
 def _folder(spark: SparkSession) -> str:
     """A new folder for files that are written at byte positions and so need a mounted path."""
-    root = shared_dir(spark).removeprefix("file://")
+    root = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    if "://" in root:
+        raise ValueError(f"{root} cannot be written at byte positions: spark.checkpoint.dir must be a mounted path for these queries")
     os.makedirs(root, exist_ok=True)
     return tempfile.mkdtemp(prefix="graph-", dir=root)
 
@@ -74,17 +76,10 @@ def _rows(graph: Graph, *columns: str):
 def compressed(spark: SparkSession, sf_dir: str, graph_type: str = "wg400", heavy: bool = False, window: int = 3) -> Graph:
     """The part graph, written in the compressed format and opened again."""
     folder, source = _folder(spark), part_graph(spark, sf_dir, heavy)
-    labels: list[list[int]] = []
-
-    def successors():
-        for dst, weight in _rows(source, "dst", "weight"):
-            labels.append(weight)
-            yield dst
-
-    encode(f"{folder}/part", source.num_vertices, successors(), window)
+    encode(f"{folder}/part", source.num_vertices, (dst for (dst,) in _rows(source, "dst")), window)
     if graph_type != "wg404":
         return Graph.open(spark, f"{folder}/part", graph_type)
-    encode_labels(f"{folder}/weights", f"{folder}/part", labels)
+    encode_labels(f"{folder}/weights", f"{folder}/part", (weight for (weight,) in _rows(source, "weight")))
     return Graph.open(spark, f"{folder}/weights", graph_type)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from array import array
 from heapq import merge
 
 import numpy as np
@@ -443,11 +444,19 @@ def encode(base: str, vertices: int, adjacency, window: int = 7, max_references:
 
 
 def encode_labels(base: str, graph: str, labels, width: int | None = None) -> None:
-    """Writes .labels, .labeloffsets and .properties of a labelled graph over ``graph``."""
-    bits = ["".join(map(bitio.write_gamma, row)) if width is None else "".join(format(n, f"0{width}b") for n in row) for row in labels]
+    """Writes .labels, .labeloffsets and .properties of a labelled graph over ``graph``; ``labels`` yields those of 0, 1, ..."""
+    where, rest = array("q", [0]), ""
     with open(f"{base}.labels", "wb") as f:
-        f.write(bitio.bytes_of("".join(bits)))
-    write_offsets_file(f"{base}.labeloffsets", np.concatenate([[0], np.cumsum([len(b) for b in bits])]))
+        for row in labels:
+            bits = "".join(map(bitio.write_gamma, row)) if width is None else "".join(format(n, f"0{width}b") for n in row)
+            where.append(where[-1] + len(bits))
+            rest += bits
+            if len(rest) >= 1 << 20:
+                cut = len(rest) // 8 * 8
+                f.write(bitio.bytes_of(rest[:cut]))
+                rest = rest[cut:]
+        f.write(bitio.bytes_of(rest))
+    write_offsets_file(f"{base}.labeloffsets", np.array(where))
     spec = "GammaCodedIntLabel(w)" if width is None else f"FixedWidthIntLabel(w,{width})"
     with open(f"{base}.properties", "w") as f:
         f.write(f"underlyinggraph={os.path.relpath(graph, os.path.dirname(base) or '.')}\nlabelspec={spec}\n")
