@@ -914,3 +914,27 @@ def test_tables_meet_their_miss_rate():
     a, b = pool[:900], pool[100:1000]  # similarity 0.8
     s = minhash.Tables(0.8).sketches(np.concatenate([a, b]), np.array([0, 900, 1800]))
     assert abs((s[0] == s[1]).mean() - 0.8) < 0.2
+
+
+def test_links_of_a_block_equal_brute_force():
+    from weftline.llm import minhash
+
+    draw = np.random.default_rng(4)
+    base = [np.unique(draw.integers(0, 400, 120)).astype(np.uint64) for _ in range(12)]
+    sets = []
+    for _ in range(300):
+        s = set(base[draw.integers(12)].tolist())
+        for _ in range(draw.integers(0, 14)):
+            s ^= {int(draw.integers(0, 400))}
+        sets.append(np.array(sorted(s), np.uint64))
+    sets += [np.zeros(0, np.uint64), np.arange(5, dtype=np.uint64) + np.uint64(1 << 50)]
+    linked = minhash.confirmed(sets, 85)
+    plain = [set(s.tolist()) for s in sets]
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            assert i == j or linked[i, j] == (100 * len(plain[i] & plain[j]) >= 85 * len(plain[i] | plain[j])), (i, j)
+    lead = list(range(len(sets)))
+    for _ in range(len(sets)):
+        for i in range(len(sets)):
+            lead[i] = min(lead[j] for j in range(len(sets)) if linked[i, j] or i == j)
+    assert minhash.spanning(linked).tolist() == lead and len(set(lead)) < 200

@@ -109,8 +109,8 @@ def alike(common: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int) ->
     return 100 * common >= percent * (one + two - common)
 
 
-def confirmed(values: list[np.ndarray], percent: int, wide: int = 2048) -> list[tuple[int, int]]:
-    """Pairs of sets with 100 * intersection >= percent * union."""
+def confirmed(values: list[np.ndarray], percent: int, wide: int = 2048) -> np.ndarray:
+    """Which pairs of sets have 100 * intersection >= percent * union: a square of booleans."""
     sizes = np.array([len(v) for v in values])
     n = len(values)
     flat = np.concatenate(values)
@@ -127,30 +127,22 @@ def confirmed(values: list[np.ndarray], percent: int, wide: int = 2048) -> list[
         dense = np.zeros((n, min(wide, width - a)), np.float32)
         dense[row[part], column[part] - a] = 1
         common += dense @ dense.T
-    out: list[tuple[int, int]] = []
+    out = np.empty((n, n), bool)
     for a in range(0, n, 256):
-        i, j = np.nonzero(np.triu(alike(common[a : a + 256], sizes[a : a + 256, None], sizes[None, :], percent), a + 1))
-        out += zip((i + a).tolist(), j.tolist(), strict=True)
+        out[a : a + 256] = alike(common[a : a + 256], sizes[a : a + 256, None], sizes[None, :], percent)
     return out
 
 
-def spanning(ids: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A star for each connected group of the pairs, from its smallest id."""
-    parent = list(range(len(ids)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in pairs:
-        a, b = root(i), root(j)
-        if a != b:
-            if ids[b] < ids[a]:
-                a, b = b, a
-            parent[b] = a
-    return [(ids[root(k)], ids[k]) for k in range(len(ids)) if ids[root(k)] != ids[k]]
+def spanning(linked: np.ndarray) -> np.ndarray:
+    """The first member of each member's connected group; every row of the square is read once."""
+    lead = np.full(len(linked), -1)
+    for k in range(len(linked)):
+        if lead[k] < 0:
+            lead[k], edge = k, np.array([k])
+            while len(edge):
+                edge = np.flatnonzero(linked[edge].any(0) & (lead < 0))
+                lead[edge] = k
+    return lead
 
 
 def stars(rows: tuple[np.ndarray, ...], data: np.ndarray, first: np.ndarray, centre: tuple | None, percent: int):
@@ -277,14 +269,13 @@ class _Finder:
         def compare(batches):
             """Runs of rows of one task: members of one or two blocks."""
             rows: list[tuple] = []
-            now, out = None, []
+            now = None
 
             def settle():
                 rows.sort(key=lambda r: r[0])
-                return spanning([r[0] for r in rows], confirmed([r[1] for r in rows], percent))
-
-            def told():
-                return pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["src", "dst"])
+                ids, lead = np.array([r[0] for r in rows], np.int64), spanning(confirmed([r[1] for r in rows], percent))
+                other = np.flatnonzero(lead != np.arange(len(lead)))
+                return pa.record_batch([pa.array(ids[lead[other]]), pa.array(ids[other])], ["src", "dst"])
 
             for batch in batches:
                 if not batch.num_rows:
@@ -293,15 +284,11 @@ class _Finder:
                 for k, task in enumerate(zip(*(batch.column(c).to_pylist() for c in ("comp", "x", "y")), strict=True)):
                     if task != now:
                         if rows:
-                            out += settle()
+                            yield settle()
                         now, rows[:] = task, []
                     rows.append((ids[k], data[first[k] : first[k + 1]].copy()))
-                if len(out) > 50_000:
-                    yield told()
-                    out = []
             if rows:
-                out += settle()
-            yield told()
+                yield settle()
             give_back()
 
         found = work.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").select("comp", "x", "y", "cid", "set")
