@@ -271,3 +271,37 @@ def test_index_is_the_same_with_and_without_offsets(tmp_path, monkeypatch):
     monkeypatch.setattr(os, "access", lambda *_: False)
     with pytest.raises(PermissionError, match="sideDir"):
         bvgraph.index_files(str(tmp_path / "g"))
+
+
+def test_cold_scans_and_sweep(spark, tmp_path):
+    path, n = str(tmp_path / "s.bin"), 300_001
+    sequence.write_sequence(spark, path, n, 1 << 16)
+    got = sequence.sweep(spark, path, [1 << 20, 4096 * 5], [3], ("mmap", "read"), 1)
+    assert [(r["block_bytes"], r["method"]) for r in got] == [(b, m) for b in (1 << 20, 20480) for m in ("mmap", "read")]
+    assert all(r["right"] and 0 < r["min"] <= r["max"] for r in got)
+    try:
+        os.close(os.open(path, os.O_RDONLY | os.O_DIRECT))
+    except OSError:
+        pytest.skip("the file system has no direct reads")
+    assert sequence.bandwidth(spark, path, 1 << 16, sequence.DIRECT, 2, 1)["right"]
+    with pytest.raises(ValueError, match="multiples"):
+        sequence.scan_blocks(spark, path, 1000, sequence.DIRECT)
+
+
+def test_other_graph_classes_are_refused(spark, tmp_path):
+    (tmp_path / "e.graph").write_bytes(b"")
+    (tmp_path / "e.properties").write_text("graphclass=it.unimi.dsi.webgraph.EFGraph\nnodes=1\narcs=0\n")
+    with pytest.raises(ValueError, match="EFGraph"):
+        Graph.open(spark, str(tmp_path / "e"), "wg400")
+
+
+def test_progress_and_release_of_reads(spark, files):
+    folder, flat = files
+    with Graph.open(spark, f"{folder}/g", "wg400") as g:
+        g.block_edges = 64
+        request = g.read_async(lambda batch, i: None, 0, 0, -1, -1)
+        request.wait(120)
+        told = request.progress
+        assert (told["status"], told["edges_read"], told["total_edges"], told["total_blocks"]) == (1, len(flat), len(flat), -(-len(flat) // 64))
+        assert told["edges_per_s"] > 0
+    assert not g._requests

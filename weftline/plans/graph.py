@@ -36,6 +36,8 @@ class Graph:
         self._count: int | None = None
         self._block_edges: int | None = None
         self.options: dict[str, str] = {}
+        self._index: dict[str, str] | None = None
+        self._requests: list = []
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, graph_type: str = "wg400", **options) -> Graph:
@@ -51,7 +53,6 @@ class Graph:
         if self.max_blocks_in_flight < 1:
             raise ValueError("at least one block must be in flight")
         self.options = {"path": path, "graphType": self.graph_type, **options}
-        self._index = None
         self._base = base
         return self
 
@@ -92,11 +93,11 @@ class Graph:
         raise NotImplementedError("no graph type has vertex weights")
 
     def release(self) -> None:
-        """Drops what was cached for this handle."""
-        for df in (self._edges, self._offsets):
-            if df is not None:
-                df.unpersist()
-        self._edges = self._offsets = None
+        """Ends reads that are still running and forgets the handle's tables. Index files stay beside the graph."""
+        for request in self._requests:
+            request.release()
+        self._requests.clear()
+        self._edges = self._offsets = self._index = None
 
     def __enter__(self) -> Graph:
         return self
@@ -182,7 +183,9 @@ class Graph:
         if callback is None:
             raise RejectedRequest("a callback is needed")
         lo, hi = self.edge_range(sv, se, ev, ee)
-        return ReadRequest(self.spark, self.options, lo, hi, self.block_edges, self.max_blocks_in_flight, callback)
+        request = ReadRequest(self.spark, self.options, lo, hi, self.block_edges, self.max_blocks_in_flight, callback)
+        self._requests.append(request)
+        return request
 
     def total_callbacks(self, lo: int, hi: int) -> int:
         return block_count(hi - lo, self.block_edges)

@@ -47,4 +47,7 @@ def check_files(base: str, graph_type: str) -> str:
     missing = [p for p in need if not os.path.exists(p)]
     if missing:
         raise FileNotFoundError(", ".join(missing))
+    kind = (read_properties(graph).get("graphclass") or "BVGraph").rpartition(".")[2].split()[-1]
+    if kind != "BVGraph":
+        raise ValueError(f"{graph} is a {kind}: only BVGraph files can be read at any vertex")
     return graph

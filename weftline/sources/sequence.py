@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METHODS = ("mmap", "pread", "read")
+#: Reads past the page cache: blocks must be multiples of this, and the file system must support it.
+DIRECT, ALIGNED = "direct", 4096
 
 
 def write_sequence(spark: SparkSession, path: str, n: int, block: int = 1 << 20) -> None:
@@ -32,12 +34,16 @@ def write_sequence(spark: SparkSession, path: str, n: int, block: int = 1 << 20)
 
 def scan_blocks(spark: SparkSession, path: str, block_bytes: int = 4 << 20, method: str = "mmap", partitions: int | None = None) -> DataFrame:
     """(block, bytes, total, seconds) of every block of the file, read by one of METHODS."""
-    if method not in METHODS:
-        raise ValueError(f"method must be one of {METHODS}")
+    if method not in (*METHODS, DIRECT):
+        raise ValueError(f"method must be one of {(*METHODS, DIRECT)}")
+    if method == DIRECT and block_bytes % ALIGNED:
+        raise ValueError(f"blocks of direct reads must be multiples of {ALIGNED} bytes")
     size = os.path.getsize(path)
 
     def read(batches):
-        with open(path, "rb", buffering=0) as f:
+        opener = (lambda name, flags: os.open(name, flags | os.O_DIRECT)) if method == DIRECT else None
+        with open(path, "rb", buffering=0, opener=opener) as f:
+            aligned = mmap.mmap(-1, block_bytes) if method == DIRECT else None
             view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if method == "mmap" and size else None
             for batch in batches:
                 rows = []
@@ -47,6 +53,8 @@ def scan_blocks(spark: SparkSession, path: str, block_bytes: int = 4 << 20, meth
                         raw = view[a : a + n]
                     elif method == "pread":
                         raw = os.pread(f.fileno(), n, a)
+                    elif aligned is not None:
+                        raw = memoryview(aligned)[: os.preadv(f.fileno(), [aligned], a)]
                     else:
                         f.seek(a)
                         raw = f.read(n)
@@ -57,12 +65,28 @@ def scan_blocks(spark: SparkSession, path: str, block_bytes: int = 4 << 20, meth
     return spark.range(0, -(-size // block_bytes), 1, partitions).mapInArrow(read, "block long, bytes long, total decimal(20,0), seconds double")
 
 
-def bandwidth(spark: SparkSession, path: str, block_bytes: int, method: str, partitions: int, rounds: int = 3) -> dict:
+def forget_cached(spark: SparkSession, path: str) -> None:
+    """Asks every machine that gets a task to drop the file's pages from its page cache."""
+
+    def forget(batches):
+        for batch in batches:
+            with open(path, "rb") as f:
+                os.fsync(f.fileno())
+                os.posix_fadvise(f.fileno(), 0, 0, os.POSIX_FADV_DONTNEED)
+            yield batch
+
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).mapInArrow(forget, "id long").count()
+
+
+def bandwidth(spark: SparkSession, path: str, block_bytes: int, method: str, partitions: int, rounds: int = 3, cold: bool = False) -> dict:
     """Minimum and maximum MB/s over rounds, MB/s over the mean time, mean load imbalance in percent, and whether
-    the sum was right in each round (it is always checked)."""
+    the sum was right in each round (it is always checked). ``cold`` drops the file from the page cache before each."""
     n, rates, idle, whole = os.path.getsize(path) // 8, [], [], 0.0
     right = True
     for _ in range(rounds):
+        if cold:
+            forget_cached(spark, path)
         began = time.perf_counter_ns()
         part = F.spark_partition_id().alias("p")
         got = scan_blocks(spark, path, block_bytes, method, partitions).groupBy(part).agg(F.sum("total").alias("t"), F.sum("seconds").alias("s")).collect()
@@ -73,3 +97,8 @@ def bandwidth(spark: SparkSession, path: str, block_bytes: int, method: str, par
         idle.append(100 * (1 - sum(busy) / len(busy) / max(max(busy), 1e-9)))
         right &= sum(int(r.t) for r in got) % (1 << 64) == (n * (n - 1) // 2) % (1 << 64)
     return {"min": min(rates), "avg": 8 * n * rounds / whole / 1e6, "max": max(rates), "imbalance": sum(idle) / rounds, "right": right}
+
+
+def sweep(spark: SparkSession, path: str, block_sizes: list[int], partitions: list[int], methods: tuple[str, ...] = METHODS, rounds: int = 3, cold: bool = True) -> list[dict]:
+    """Bandwidths for every combination of block size, number of parallel readers and method."""
+    return [{"block_bytes": b, "partitions": p, "method": m, **bandwidth(spark, path, b, m, p, rounds, cold)} for b in block_sizes for p in partitions for m in methods]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +21,7 @@ class ReadRequest:
 
     def __init__(self, spark: SparkSession, options: dict, lo: int, hi: int, block_edges: int, in_flight: int, callback: Callable[[DataFrame, int], None]):
         self.total_edges, self.total_blocks = hi - lo, block_count(hi - lo, block_edges)
-        self.edges_read = 0
+        self.edges_read, self._began, self._ended = 0, time.monotonic(), None
         self.error: BaseException | None = None
         self._query, self._done = None, threading.Event()
         if not self.total_edges:
@@ -37,6 +38,7 @@ class ReadRequest:
                 if n:
                     callback(kept, batch_id)
                 self.edges_read += n
+                self._ended = time.monotonic()
             except BaseException as e:
                 self.error = e
                 raise
@@ -56,6 +58,13 @@ class ReadRequest:
             return FAILED
         return RUNNING
 
+    @property
+    def progress(self) -> dict:
+        """Status, edges delivered of all, all blocks, edges a second up to the last delivery, and the engine's last report."""
+        seconds = (self._ended or time.monotonic()) - self._began
+        last = self._query.lastProgress if self._query is not None else None
+        return {"status": self.status, "edges_read": self.edges_read, "total_edges": self.total_edges, "total_blocks": self.total_blocks, "edges_per_s": self.edges_read / max(seconds, 1e-9), "last": last}
+
     def wait(self, timeout: float | None = None) -> ReadRequest:
         """Returns when all callbacks are done; raises what a block's read or callback raised."""
         waited = 0.0
