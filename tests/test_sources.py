@@ -305,3 +305,19 @@ def test_progress_and_release_of_reads(spark, files):
         assert (told["status"], told["edges_read"], told["total_edges"], told["total_blocks"]) == (1, len(flat), len(flat), -(-len(flat) // 64))
         assert told["edges_per_s"] > 0
     assert not g._requests
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ranges_of_long_reference_chains_and_hubs(tmp_path, seed):
+    draw = random.Random(seed)
+    n, base = 400, str(tmp_path / "g")
+    rows = adjacency(draw, n)
+    rows[200] = sorted(draw.sample(range(n), 300))
+    rows[201], rows[202] = rows[200][::2], list(range(n))
+    bvgraph.encode(base, n, rows, draw.randint(1, 9), 10**6, draw.randint(0, 6), draw.randint(1, 6))
+    reader = bvgraph.Reader(base, bvgraph.index_files(base))
+    for _ in range(20):
+        a = draw.randrange(n)
+        b = draw.randint(a + 1, n)
+        degree, flat = reader.successors(a, b)
+        assert degree.tolist() == [len(r) for r in rows[a:b]] and flat.tolist() == sum(rows[a:b], [])
