@@ -407,6 +407,49 @@ def test_quality_learns_bradley_terry_weights(spark):
     assert named.columns == ["doc_id", "quality_score"] and named.count() == 1
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    """More labelled documents than the driver takes: means, weights and threshold are those of all of them, by plain loops."""
+    draw = random.Random(73)
+    words = [(prose(draw, 6), k % 5) for k in range(50)]
+    rows = [(k, f"{t} {'## ' * (kind == 0)}{k % 13}" + "!" * (k % 7 == 0), int(kind != 0)) for k in range(17_500) for t, kind in [words[draw.randrange(50)]]]
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert len(known) > quality.LOCAL_ROWS
+    marks = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, quality int")
+    model = quality.fit(make(spark, [r[:2] for r in rows]).repartition(3), marks, epochs=2)
+    x = quality.features(*text_bytes(pa.array([t for _, t, _ in known])))
+    assert np.allclose(model["mean"], x.mean(0), atol=1e-12) and np.allclose(model["scale"], np.maximum(x.std(0), 1e-3), atol=1e-12)
+    raw, y = quality.weighed(quality.standard(x, model["mean"], model["scale"]), model["w"]), np.array([r[2] for r in known])
+    wrong = [int((y[raw >= c] == 0).sum() + (y[raw < c] == 1).sum()) for c in [*np.unique(raw), np.inf]]
+    assert (y[raw >= model["cut"]] == 0).sum() + (y[raw < model["cut"]] == 1).sum() == min(wrong)
+
+
+def test_quality_blocks_have_every_row_and_both_classes(spark, monkeypatch):
+    """Small blocks with three bad rows: all rows are owned once and paired, on the driver as on the executors."""
+    from pyspark.sql import functions as F
+
+    draw = random.Random(74)
+    rows = [(k, prose(draw, draw.randint(5, 20)) + " ##!! junk" * (k in (7, 301, 302)), int(k not in (7, 301, 302))) for k in range(400)]
+    monkeypatch.setattr(quality, "BLOCK", 90)
+    df = make(spark, rows, "doc_id long, text string, label int")
+    parts = quality._blocks(quality.styles(df, "doc_id", "label"), 397, 3)
+    mean, scale = np.zeros(quality.WIDTH), np.ones(quality.WIDTH)
+    paired = [quality._paired(p, mean, scale, 1) for p in parts]
+    assert len(parts) == 5 and sum(p[2].sum() for p in parts) == 400 and all((p[1] == 0).sum() == 3 for p in parts)
+    assert all(set(p[4]) | set(p[5]) == set(range(len(p[1]))) and (p[1][p[4]] > 0).all() and (p[1][p[5]] == 0).all() for p in paired)
+    models = [quality.train(df, epochs=3, reject_share=share) for share in (None, 0.1)]
+    w, speed = np.zeros(quality.WIDTH), np.zeros(quality.WIDTH)
+    eight = [quality._paired(p, models[0]["mean"], models[0]["scale"], 8) for p in parts]
+    for _ in range(3):
+        d = np.concatenate([z[up] - z[down] for _, _, _, z, up, down in eight])
+        speed = 0.9 * speed + 0.15 * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 1e-4 * w)
+        w = w + speed
+    assert np.allclose(models[0]["w"], w, atol=1e-9)
+    monkeypatch.setattr(quality, "LOCAL_ROWS", 0)
+    for one, share, pieces in zip(models, (None, 0.1), (2, 5), strict=True):
+        other = quality.train(df.repartition(pieces, F.col("text")), epochs=3, reject_share=share)
+        assert all(np.array_equal(one[k], other[k]) for k in one)
+
+
 def test_quality_ranks_junk_below(spark):
     junk = [lambda d: "word!! " * d.randint(9, 60), lambda d: " ".join(w + d.choice(["###", "$$$"]) for w in prose(d, 40).split()), lambda d: " | ".join(prose(d, 40).split())]
     rows, labels = labelled(6, 400, lambda d: d.choice(junk)(d))
