@@ -174,8 +174,12 @@ class Graph:
         inside = (F.col("src") >= sv) if ev is None or ev < 0 else F.col("src").between(sv, ev)
         return self.edges.where(inside & (F.col("edge_idx") >= lo) & (F.col("edge_idx") < hi))
 
-    def read_async(self, callback: Callable[[DataFrame, int], None], sv: int = 0, se: int = 0, ev: int | None = None, ee: int | None = None):
-        """Delivers the request's blocks to ``callback(batch, batch_id)`` in the background."""
+    def read_async(self, callback: Callable[[DataFrame, int], None], sv: int = 0, se: int = 0, ev: int | None = None, ee: int | None = None, batch_edges: int = 0):
+        """Delivers the request's blocks to ``callback(batch, batch_id)`` in the background.
+
+        A batch has at most ``max_blocks_in_flight`` blocks, which a callback may collect. Callbacks that work on
+        the executors can take about ``batch_edges`` edges at once, of which no more blocks are decoded at a time.
+        """
         from weftline.streaming.reading import ReadRequest
 
         if not self.path:
@@ -183,7 +187,7 @@ class Graph:
         if callback is None:
             raise RejectedRequest("a callback is needed")
         lo, hi = self.edge_range(sv, se, ev, ee)
-        request = ReadRequest(self.spark, self.options, lo, hi, self.block_edges, self.max_blocks_in_flight, callback)
+        request = ReadRequest(self.spark, self.options, lo, hi, self.block_edges, self.max_blocks_in_flight, callback, batch_edges)
         self._requests.append(request)
         return request
 

@@ -2,8 +2,8 @@
 
 Options: ``path`` (base path of the graph), ``graphType`` (wg400, wg800, wg404), ``blockEdges``
 (edges of a partition), ``withWeights`` (false leaves the label stream of wg404 unread),
-``sideDir`` (where indexes go if the graph's folder is read-only), ``maxBlocksInFlight``,
-``loEdge`` and ``hiEdge`` (range of the edge order). Filters on ``src`` and ``edge_idx`` become a
+``sideDir`` (where indexes go if the graph's folder is read-only), ``maxBlocksInFlight`` and
+``batchEdges`` (of a stream), ``loEdge`` and ``hiEdge`` (range of the edge order). Filters on ``src`` and ``edge_idx`` become a
 range of the edge order, and only its blocks are read. Files are opened on the executors, so the
 path must be on a file system that all of them mount.
 """
@@ -139,16 +139,20 @@ class CsxReader(DataSourceReader):
 
 
 class CsxStream(DataSourceStreamReader):
-    """Delivers at most ``maxBlocksInFlight`` blocks with each micro-batch.
+    """Decodes at most ``maxBlocksInFlight`` blocks at a time.
 
-    The next batch is only planned when the last one's callback has returned, which is the
-    back-pressure. A trigger that asks once (availableNow) would get the first blocks only, so
+    A micro-batch has so many tasks at most, and a task decodes its blocks one after another. Without
+    ``batchEdges`` a batch has one block for each task; with it, a batch goes on to about that many edges, so
+    that the number of batches is not that of the blocks. The next batch is only planned when the last one's
+    callback has returned, which is the back-pressure. A trigger that asks once (availableNow) would get the first blocks only, so
     with one the cursor has to be unbounded (maxBlocksInFlight = 0).
     """
 
     def __init__(self, options: dict):
         self.blocks = _Blocks(options)
-        self.step = int({k.lower(): v for k, v in options.items()}.get("maxblocksinflight", 0))
+        options = {k.lower(): v for k, v in options.items()}
+        self.flight = int(options.get("maxblocksinflight", 0))
+        self.step = self.blocks.block * max(self.flight, int(options.get("batchedges", 0)) // self.blocks.block) if self.flight else 0
         self.at = self.blocks.lo
 
     def initialOffset(self):
@@ -156,15 +160,18 @@ class CsxStream(DataSourceStreamReader):
 
     def latestOffset(self):
         b = self.blocks
-        self.at = min(b.hi, self.at + self.step * b.block) if self.step else max(b.hi, b.lo)
+        self.at = min(b.hi, self.at + self.step) if self.step else max(b.hi, b.lo)
         return {"edge": self.at}
 
     def partitions(self, start, end):
         self.at = max(self.at, end["edge"])
-        return self.blocks.cut(start["edge"], end["edge"])
+        lo, hi, block = start["edge"], end["edge"], self.blocks.block
+        run = block * max(1, -(-(hi - lo) // (block * self.flight))) if self.flight else block
+        return [EdgeBlock(a, min(a + run, hi)) for a in range(lo, hi, run)]
 
     def read(self, partition):
-        yield from self.blocks.decode(partition)
+        for one in self.blocks.cut(partition.lo, partition.hi):
+            yield from self.blocks.decode(one)
 
     def commit(self, end):
         self.at = max(self.at, json.loads(end)["edge"] if isinstance(end, str) else end["edge"])

@@ -17,9 +17,13 @@ RUNNING, DONE, FAILED = 0, 1, -1
 
 
 class ReadRequest:
-    """A running read. ``status`` is DONE only when every block was read and its callback returned."""
+    """A running read. ``status`` is DONE only when every block was read and its callback returned.
 
-    def __init__(self, spark: SparkSession, options: dict, lo: int, hi: int, block_edges: int, in_flight: int, callback: Callable[[DataFrame, int], None]):
+    A callback gets at most ``in_flight`` blocks, which are kept for its actions. With ``batch_edges`` it gets so
+    many edges that are not kept: each of its actions decodes them anew, ``in_flight`` blocks at a time.
+    """
+
+    def __init__(self, spark: SparkSession, options: dict, lo: int, hi: int, block_edges: int, in_flight: int, callback: Callable[[DataFrame, int], None], batch_edges: int = 0):
         self.total_edges, self.total_blocks = hi - lo, block_count(hi - lo, block_edges)
         self.edges_read, self._began, self._ended = 0, time.monotonic(), None
         self.error: BaseException | None = None
@@ -32,7 +36,9 @@ class ReadRequest:
             if self._done.is_set():
                 return
             # the block's number follows from the position, whatever batches they came in
-            kept = batch.withColumn("block", block_of(F.col("edge_idx"), lo, block_edges)).persist()
+            kept = batch.withColumn("block", block_of(F.col("edge_idx"), lo, block_edges))
+            if not batch_edges:
+                kept.persist()
             try:
                 n = kept.count()
                 if n:
@@ -43,11 +49,12 @@ class ReadRequest:
                 self.error = e
                 raise
             finally:
-                kept.unpersist()
+                if not batch_edges:
+                    kept.unpersist()
             if self.edges_read >= self.total_edges:
                 self._done.set()
 
-        stream = spark.readStream.format("csx").options(**options, loEdge=lo, hiEdge=hi, blockEdges=block_edges, maxBlocksInFlight=in_flight).load()
+        stream = spark.readStream.format("csx").options(**options, loEdge=lo, hiEdge=hi, blockEdges=block_edges, maxBlocksInFlight=in_flight, batchEdges=batch_edges).load()
         self._query = stream.writeStream.foreachBatch(deliver).trigger(processingTime="0 seconds").option("checkpointLocation", f"{shared_dir(spark)}/weftline/stream-{uuid.uuid4().hex}").start()
 
     @property
