@@ -1,8 +1,9 @@
 """Edge lists in text: plain (``src dst [weight]``) and MatrixMarket coordinate files.
 
-Rows keep their place in the file as ``row``, so a range of rows can be selected. The place
-comes from the row's partition and its place in it: one pass counts the rows of each
-partition, and the prefix sums of those few counts are joined back.
+A path is one file, or a folder whose part files in the order of their names are the file. Rows keep
+their place in it as ``row``, so a range of rows can be selected. The place comes from the row's
+split, which is a range of bytes of one file, and its place there: one pass counts the rows of each
+split, and the prefix sums of those few counts are joined back.
 """
 
 from __future__ import annotations
@@ -10,16 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_INSIDE = (1 << 33) - 1
+_SPLIT = ["_file", "_start"]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all part files, with the file and the byte that their split begins at."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    return spark.read.text(path).select("value", *place)
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """(row, value) of the lines of one file, in its order: Spark deals equal splits in order, the last and shortest one last."""
+    """(row, value) of the lines in the order of the files' names; a task reads whole splits, each in its order."""
     marked = lines.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("_id", 33)
-    counts = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return marked.withColumn("_part", part).join(before, "_part").select((F.col("_before") + F.col("_id").bitwiseAND(F.lit(_INSIDE))).alias("row"), "value")
+    counts = marked.groupBy(*_SPLIT).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    # one row for each split
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*_SPLIT).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select(*_SPLIT, (before - F.col("_first")).alias("_base"))
+    return marked.join(F.broadcast(base), _SPLIT).select((F.col("_base") + F.col("_id")).alias("row"), "value")
 
 
 def _edges(rows: DataFrame, weighted: bool, first_id: int) -> DataFrame:
@@ -33,7 +41,7 @@ def read_edge_list(spark: SparkSession, path: str, weighted: bool = False, start
 
     Blank lines and lines that start with # or % are no rows.
     """
-    rows = _numbered(spark.read.text(path).where(~F.col("value").rlike(r"^\s*([#%].*)?$")))
+    rows = _numbered(_lines(spark, path).where(~F.col("value").rlike(r"^\s*([#%].*)?$")))
     kept = rows.where(F.col("row") >= start_row)
     return _edges(kept if end_row in (None, -1) else kept.where(F.col("row") < end_row), weighted, 0)
 
@@ -43,7 +51,7 @@ def read_matrix_market(spark: SparkSession, path: str, start_row: int = 0, end_r
 
     Fields ``pattern`` and ``integer`` are read; of a symmetric matrix, the stored half.
     """
-    text = spark.read.text(path)
+    text = _lines(spark, path)
     banner = text.where(F.lower("value").startswith("%%matrixmarket")).limit(1).collect()
     kind = banner[0].value.lower().split() if banner else []
     if kind[1:3] != ["matrix", "coordinate"] or kind[3] not in ("pattern", "integer"):
